@@ -9,13 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def piece_model() -> str:
+    """Place of the vocabulary, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed_report
 
     return mixed_report(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), piece_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
