@@ -53,3 +53,39 @@ def count_words(text: Column) -> Column:
 def sketch_parts(spark: SparkSession) -> int:
     """Partitions for a hash exchange of the operators' own: the session's setting, which the cluster sizes to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def slices(texts, limit: int = 8 << 20):
+    """Parts of an Arrow string array of at most about ``limit`` bytes, one row at least; nulls become empty texts."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield texts.slice(first, last - first)
+        first = last
+
+
+def struct_rows(columns, fields):
+    """A struct array from columns (lists or arrays) and (name, Arrow type) pairs."""
+    import pyarrow as pa
+
+    return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def arrow_function(run, kind: str):
+    """An Arrow function over batches of one text column, evaluated once a row."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(kind)(run).asNondeterministic()

@@ -28,8 +28,22 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import media_report
+
+    return media_report(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
+    "op4_telephony_audio": op4_telephony_audio,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
