@@ -34,6 +34,12 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_report
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op4_telephony_audio": op4_telephony_audio,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
