@@ -46,11 +46,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import page_report
+
+    return page_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op4_telephony_audio": op4_telephony_audio,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {}
