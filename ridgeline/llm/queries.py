@@ -17,6 +17,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_report
+
+    return simhash_report(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed_report
 
@@ -60,6 +66,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_source_mixing": op2_source_mixing,
     "op4_telephony_audio": op4_telephony_audio,
     "op6_sentencepiece": op6_sentencepiece,
