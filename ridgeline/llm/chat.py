@@ -15,6 +15,8 @@ ties between branches go to the longer one, then to the smaller leaf id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,19 +60,21 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     level = materialize(level)
     inner = level.where("up is not null").select("key", F.col("up").alias("node")).distinct()
     leaves = level.join(inner, ["key", "node"], "left_anti").select("key", "node")
-    levels, longest = [level], max(1, level.count()).bit_length()
-    while len(levels) <= longest and not level.where("up is not null").isEmpty():
-        far = level.select("key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("passed").alias("passed2"), F.col("total").alias("total2"))
-        level = level.join(far, ["key", "up"], "left").select("key", "node", F.col("up2").alias("up"), (F.col("passed") + F.coalesce("passed2", F.lit(0))).alias("passed"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        level = materialize(level)
+    # levels[k] tells of each node that has one its ancestor 2 ** k steps up; a node that has reached its root goes into ended, once
+    ended, levels, longest = [level.where("up is null")], [], max(1, level.count()).bit_length()
+    while len(levels) <= longest and not (going := level.where("up is not null")).isEmpty():
         levels.append(level)
-    rooted = level.where("up is null")
+        far = reduce(DataFrame.unionAll, [going, *ended]).select("key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("passed").alias("passed2"), F.col("total").alias("total2"))
+        level = materialize(going.join(far, ["key", "up"]).select("key", "node", F.col("up2").alias("up"), (F.col("passed") + F.col("passed2")).alias("passed"), (F.col("total") + F.col("total2")).alias("total")))
+        ended.append(level.where("up is null"))
+    rooted = reduce(DataFrame.unionAll, ended)
     rank = Window.partitionBy("key").orderBy(F.desc("total"), F.desc("passed"), "node")
     chosen = leaves.join(rooted, ["key", "node"]).withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches)
     path = chosen.select("key", "branch", "node")
-    for step in levels[:-1]:
-        up = step.select("key", "node", "up")
-        path = path.join(up, ["key", "node"], "left").select("key", "branch", F.explode(F.array("node", "up")).alias("node")).where("node is not null")
+    path = materialize(path)
+    for step in levels:
+        up = step.where("up is not null").select("key", "node", "up")
+        path = materialize(path.unionAll(path.join(up, ["key", "node"]).select("key", "branch", F.col("up").alias("node"))))
     depth = rooted.select("key", "node", (F.col("passed") - 1).alias("position"))
     out = path.join(depth, ["key", "node"]).join(nodes.select("key", "node", "tree", "role", "text"), ["key", "node"])
     out = materialize(out.select("tree", "branch", "position", "role", "text"))
