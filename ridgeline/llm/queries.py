@@ -35,6 +35,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scoring import score_report
+
+    return score_report(table(spark, sf_dir, "documents"))
+
+
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .audio import media_report
 
@@ -68,6 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_source_mixing": op2_source_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_telephony_audio": op4_telephony_audio,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_chat_formatting": op7_chat_formatting,
