@@ -71,6 +71,7 @@ def slices(texts, limit: int = 8 << 20):
         last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield texts.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 def struct_rows(columns, fields):

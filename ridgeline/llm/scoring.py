@@ -10,7 +10,7 @@ the pairs of a corpus not fit, the pairs of lowest count are left out of the fil
 least power of two is the floor at which a slice's entries fit its share. Counts themselves are always summed over all documents.
 
 The base score needs exact counts of all words: words outside the common table are looked up by an exchange of (word hash, document) lists with the
-count table, slice by slice, and only sums by document come back.
+count table, slice by slice, and only sums by document come back, packed by slice of the document.
 
 Defined results: null and empty texts have one token, the end; the first word follows the end token; without training documents
 N and V are 0; repeated rows get equal results, a row each; ids that repeat with other texts are rows of their own; null ids count as the text "" for the split.
@@ -34,7 +34,11 @@ BITS_EACH, PROBES, MAX_BITS = 10, 3, 1 << 30
 WORD_SHARE = 0.25
 LEVELS = 40
 #: Tokens that a worker counts before it passes the sums on.
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
+#: Distinct (word, document) that a worker gathers for the exchange before it passes them on.
+FLUSH_WORDS = 1_000_000
+#: Bytes of text taken at a time.
+SLICE_BYTES = 2 << 20
 KEY_BITS = 40
 END = b"\xff\xfeend"  # no word: words are valid UTF-8
 
@@ -120,7 +124,7 @@ def count_ngrams(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
         held: dict[int, list] = {1: [], 2: []}
         n = 0
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE_BYTES):
                 hashes, counts = tokens(part)
                 held[1].append(hashes)
                 held[2].append(pairs(hashes, counts)[1])
@@ -297,6 +301,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]
 def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id, n_tokens, n_known, train_tokens, base_score, score. The model learns from ``training``."""
     import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
 
     spark = docs.sparkSession
     model, words, parts = fit(training, text_col)
@@ -305,83 +310,117 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     doc = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.xxhash64(F.col(id_col).cast("string")), F.lit(0).cast("long")).alias("i"))
 
+    names = ["id", "i", "h", "n_tokens", "n_known", "base", "score", "slice", "docs", "at", "keys", "n"]
+
+    def pack(asked: list, keys: list, empty: list) -> Iterator[pa.RecordBatch]:
+        """Rows of the words to look up, with their documents and counts, by slice of the word."""
+        word, text, times = (np.concatenate([x[k] for x in asked]) for k in range(3))
+        both = np.concatenate(keys)
+        asked.clear()
+        keys.clear()
+        order = np.argsort(word)
+        word, text, times = word[order], text[order], times[order]
+        cuts = np.searchsorted(slice_of(word, parts), np.arange(parts + 1))
+        for p in range(parts):
+            a, b = cuts[p], cuts[p + 1]
+            if a < b:
+                used, at = np.unique(text[a:b], return_inverse=True)
+                blobs = [both[used].tobytes(), at.astype(np.uint32).tobytes(), word[a:b].tobytes(), times[a:b].tobytes()]
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
+
     def run(batches):
         m = held.value
-        names = ["id", "i", "h", "rows", "n_tokens", "n_known", "base", "score", "slice", "docs", "at", "keys", "n"]
+        asked, keys, n_docs, n_words, empty = [], [], 0, 0, []
         for batch in batches:
-            texts, first = batch.column("text"), 0
-            for part in slices(texts):
-                ids, i, h = (batch.column(c).slice(first, len(part)) for c in ("id", "i", "h"))
-                first += len(part)
+            first = 0
+            for part in slices(batch.column("text"), SLICE_BYTES):
+                k = len(part)
+                ids, i, h = (batch.column(c).slice(first, k) for c in ("id", "i", "h"))
+                first += k
+                empty = [pa.nulls(1, ids.type), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 hashes, counts = tokens(part)
                 exact = m.common_of(hashes)
                 starts = np.cumsum(counts) - counts
                 known = exact >= 0
                 base = np.add.reduceat(np.where(known, np.log10(np.maximum(exact, 0) + 1.0), 0.0), starts)
                 score = m.scores(hashes, counts, exact)
-                k = len(part)
                 none = pa.nulls(k, pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    ids, i, h, pa.array(np.ones(k, dtype=np.int64)), pa.array(counts), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                    pa.array(base), pa.array(score), pa.nulls(k, pa.int32()), none, none, none, none,
-                ], names=names)
-                # the other words: distinct (word, document) with counts, by slice
+                yield pa.RecordBatch.from_arrays([ids, i, h, pa.array(counts), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), pa.nulls(k, pa.int32()), none, none, none, none], names=names)
+                # the other words: distinct (word, document) with counts
                 rare = np.flatnonzero(~known)
                 text = np.repeat(np.arange(k, dtype=np.int64), counts)[rare]
                 order = np.lexsort((text, hashes[rare]))
                 word, text = hashes[rare][order], text[order]
                 new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (text[1:] != text[:-1]))) if len(word) else np.zeros(0, dtype=np.int64)
-                times = np.diff(np.append(new, len(word))).astype(np.uint32)
-                word, text = word[new], text[new]
-                own = slice_of(word, parts)
-                cuts = np.searchsorted(own, np.arange(parts + 1))
-                both = np.stack([i.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)], axis=1)
-                for p in range(parts):
-                    a, b = cuts[p], cuts[p + 1]
-                    if a == b:
-                        continue
-                    used, at = np.unique(text[a:b], return_inverse=True)
-                    blobs = [both[used].tobytes(), at.astype(np.uint32).tobytes(), word[a:b].tobytes(), times[a:b].tobytes()]
-                    empty = [pa.nulls(1, ids.type), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                    yield pa.RecordBatch.from_arrays([*empty, pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
-
-    schema = f"id {id_type}, i long, h long, rows long, n_tokens long, n_known long, base double, score double, slice int, docs binary, at binary, keys binary, n binary"
+                asked.append((word[new], text[new] + n_docs, np.diff(np.append(new, len(word))).astype(np.uint32)))
+                keys.append(np.stack([i.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)], axis=1))
+                n_docs, n_words = n_docs + k, n_words + len(new)
+                if n_words >= FLUSH_WORDS:
+                    yield from pack(asked, keys, empty)
+                    n_docs = n_words = 0
+        if asked:
+            yield from pack(asked, keys, empty)
+
+    schema = f"id {id_type}, i long, h long, n_tokens long, n_known long, base double, score double, slice int, docs binary, at binary, keys binary, n binary"
     passed = materialize(doc.select("id", "text", "i", "h").mapInArrow(run, schema))
     asked = passed.where("slice is not null").select("slice", "docs", "at", "keys", "n")
-    table = words.select("slice", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("at"), "keys", "n")
 
-    def look_up(key, rows):
-        counts = [r for r in rows.to_pylist() if r["docs"] is None]
-        keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in counts]) if counts else np.zeros(0, dtype=np.uint64)
-        n = np.concatenate([np.frombuffer(r["n"], dtype=np.int64) for r in counts]) if counts else np.zeros(0, dtype=np.int64)
+    def look_up(key, rows, table):
+        """What each document's words of one slice add, packed by slice of the document."""
+        keys, n = (np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)] or [np.zeros(0, dtype=t)]) for c, t in (("keys", np.uint64), ("n", np.int64)))
         ids, adds, knows = [], [], []
         for k in range(rows.num_rows):
-            if not rows.column("docs")[k].is_valid:
-                continue
             docs_, at, asked_, times = (np.frombuffer(rows.column(c)[k].as_py(), dtype=t) for c, t in (("docs", np.int64), ("at", np.uint32), ("keys", np.uint64), ("n", np.uint32)))
             docs_ = docs_.reshape(-1, 2)
+            c = np.zeros(len(asked_), dtype=np.int64)
             if len(keys):
                 where = np.minimum(np.searchsorted(keys, asked_), len(keys) - 1)
                 c = np.where(keys[where] == asked_, n[where], 0)
-            else:
-                c = np.zeros(len(asked_), dtype=np.int64)
             ids.append(docs_)
             adds.append(np.bincount(at, weights=np.log10(c + 1.0) * times, minlength=len(docs_)))
             knows.append(np.bincount(at, weights=(c > 0) * times, minlength=len(docs_)).astype(np.int64))
-        both = np.concatenate(ids) if ids else np.zeros((0, 2), dtype=np.int64)
-        return pa.table({"i": pa.array(np.ascontiguousarray(both[:, 0])), "h": pa.array(np.ascontiguousarray(both[:, 1])), "base": pa.array(np.concatenate(adds) if adds else np.zeros(0)), "n_known": pa.array(np.concatenate(knows) if knows else np.zeros(0, dtype=np.int64))})
-
-    found = asked.unionByName(table).groupBy("slice").applyInArrow(look_up, "i long, h long, base double, n_known long")
-    direct = passed.where("slice is null").select("id", "i", "h", "rows", "n_tokens", "n_known", "base", "score")
-    nothing = [F.lit(None).cast(id_type).alias("id"), "i", "h", F.lit(0).cast("long").alias("rows"), F.lit(None).cast("long").alias("n_tokens"), "n_known", "base", F.lit(None).cast("double").alias("score")]
-    by = direct.unionAll(found.select(*nothing)).groupBy("i", "h").agg(F.max("id").alias("id"), F.sum("rows").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
-    by = by.where("rows > 0")
-    # equal rows were summed; each gets its share
-    out = by.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return out.select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows") + F.col("n_tokens") * F.lit(unknown)).alias("base_score"), "score",
-    )
+        out = []
+        if ids:
+            both, add, know = map(np.concatenate, (ids, adds, knows))
+            own = document_slice(both[:, 0], both[:, 1], parts)
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(parts + 1))
+            out = [(p, both[m].tobytes(), add[m].tobytes(), know[m].tobytes()) for p in range(parts) if len(m := order[cuts[p] : cuts[p + 1]])]
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table({c: pa.array(x, pa.int32() if c == "slice" else pa.binary()) for c, x in zip(("slice", "docs", "base", "known"), columns)})
+
+    found = asked.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(look_up, "slice int, docs binary, base binary, known binary")
+    direct = passed.where("slice is null").select("id", "i", "h", "n_tokens", "n_known", "base", "score")
+
+    def own_slice(i: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(document_slice(i.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False), parts), type=pa.int32())
+
+    own_slice.__annotations__ = {"i": pa.Array, "h": pa.Array, "return": pa.Array}
+    total = model.total
+
+    def add_up(rows, adds):
+        own = np.stack([rows.column(c).to_numpy() for c in ("i", "h")], axis=1).reshape(-1, 2)
+        ids = [np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2) for x in adds.column("docs")]
+        found, back = np.unique(np.concatenate([own, *ids]), axis=0, return_inverse=True)
+        back = back.reshape(-1)
+        mine, theirs = back[: len(own)], back[len(own) :]
+        times = np.maximum(np.bincount(mine, minlength=len(found)), 1)  # equal rows asked as often; each gets its share
+        base, known = (np.bincount(theirs, weights=np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in adds.column(c)] or [np.zeros(0)]), minlength=len(found)) / times for c, t in (("base", np.float64), ("known", np.int64)))
+        n = rows.column("n_tokens").to_numpy()
+        return pa.table({
+            "id": rows.column("id"), "n_tokens": pa.array(n), "n_known": pa.array(rows.column("n_known").to_numpy() + np.rint(known[mine]).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(n), total, dtype=np.int64)), "base_score": pa.array(rows.column("base").to_numpy() + base[mine] + n * unknown), "score": rows.column("score"),
+        })
+
+    direct = direct.withColumn("slice", arrow_udf("int")(own_slice)("i", "h"))
+    out = direct.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(add_up, f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)
+
+
+def document_slice(ids: np.ndarray, hs: np.ndarray, parts: int) -> np.ndarray:
+    """The slice of a document, from the hashes of its id and text."""
+    with np.errstate(over="ignore"):
+        return slice_of(mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hs.astype(np.uint64), 5), parts)
 
 
 def score_report(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import sketch_parts, slices
-from .scoring import mix, slice_of
+from .scoring import document_slice, mix, slice_of
 
 LEAST, GRAM = 50, 20
 #: Windows of a run at most; longer runs, as of one repeated character, are cut.
@@ -413,11 +413,6 @@ def removed_in_slice(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs[which[np.concatenate([whole, where])]], start, end
 
 
-def document_slice(ids: np.ndarray, hs: np.ndarray, parts: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return slice_of(mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + hs.astype(np.uint64), 5), parts)
-
-
 def spans(docs: DataFrame, parts: int) -> DataFrame:
     """The removed stretches by document slice: slice, docs, which, starts, ends. docs: id, h, text."""
     import pyarrow as pa
@@ -489,10 +484,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     new += [] if report else [T.StructField("__kept", T.StringType())]
     schema = T.StructType([*kept_columns, *new])
 
-    def slices_of(ids, hs):
-        for i, h in zip(ids, hs):
-            yield pa.array(document_slice(i.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False), parts), type=pa.int32())
-
     from pyspark.sql.functions import arrow_udf
 
     def one(i: pa.Array, h: pa.Array) -> pa.Array:
