@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +29,15 @@ from pyspark.sql import types as T
 from .common import sketch_parts, slices
 from .scoring import document_slice, mix, slice_of
 
-LEAST, GRAM = 50, 20
+LEAST, GRAM = 50, 16
 #: Windows of a run at most; longer runs, as of one repeated character, are cut.
 RUN_WINDOWS = 192
 BITS_EACH, PROBES, MAX_BITS = 12, 2, 1 << 30
 #: Bytes of text whose runs a worker gathers before it passes them on.
 FLUSH_BYTES = 48 << 20
 SLICE_BYTES = 1 << 20
+#: Characters that one suffix array is made over, about: a slice is cut by name into so many parts that each stays near it.
+ARRAY_SYMBOLS = 1_500_000
 NAME_BITS = 40
 
 _rng = np.random.default_rng(20)
@@ -98,6 +101,11 @@ def window_runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names[starts], text[starts], starts, count
 
 
+def sub_slice(keys: np.ndarray) -> np.ndarray:
+    """16 further bits of a name's key: they cut a slice into parts that share no name."""
+    return (keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
 def name_key(names: np.ndarray) -> np.ndarray:
     return mix(names, 7)
 
@@ -232,7 +240,7 @@ def candidate_runs(docs: DataFrame, filter_segments: list[bytes], parts: int) ->
         ids = np.array(rows, dtype=np.int64).reshape(-1, 2)
         rows.clear()
         own = slice_of(key, parts)
-        order = np.lexsort((hashes, own))
+        order = np.lexsort((hashes, key))  # by slice, and texts of a name side by side
         cuts = np.searchsorted(own[order], np.arange(parts + 1))
         for p in range(parts):
             mine = order[cuts[p] : cuts[p + 1]]
@@ -244,8 +252,8 @@ def candidate_runs(docs: DataFrame, filter_segments: list[bytes], parts: int) ->
             lead = mine[first]
             used, which = np.unique(doc[mine], return_inverse=True)
             texts = gather(raw, start[lead], count[lead] + LEAST - 1)
-            blobs = [texts.tobytes(), count[lead].astype(np.uint16).tobytes(), h[first].tobytes(), ids[used].tobytes(), nth.astype(np.uint32).tobytes(), which.astype(np.uint32).tobytes(), offset[mine].astype(np.int64).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "texts", "counts", "hashes", "docs", "nth", "which", "offsets"])
+            blobs = [zstandard.compress(texts.tobytes(), 1), sub_slice(key[lead]).tobytes(), count[lead].astype(np.uint16).tobytes(), h[first].tobytes(), ids[used].tobytes(), nth.astype(np.uint32).tobytes(), which.astype(np.uint32).tobytes(), offset[mine].astype(np.uint32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], names=["slice", "texts", "subs", "counts", "hashes", "docs", "nth", "which", "offsets"])
 
     def run(batches):
         seen = held_filter.value
@@ -281,7 +289,7 @@ def candidate_runs(docs: DataFrame, filter_segments: list[bytes], parts: int) ->
         if held:
             yield from pack(held, rows)
 
-    return docs.select("id", "h", "text").mapInArrow(run, "slice int, texts binary, counts binary, hashes binary, docs binary, nth binary, which binary, offsets binary")
+    return docs.select("id", "h", "text").mapInArrow(run, "slice int, texts binary, subs binary, counts binary, hashes binary, docs binary, nth binary, which binary, offsets binary")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -372,30 +380,38 @@ def least_documents(texts: np.ndarray, counts: np.ndarray, least_doc: np.ndarray
 
 def removed_in_slice(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents (id, h), first bytes and ends of the stretches that one slice's runs remove. rows: an Arrow table of candidate_runs."""
-    names = ("texts", "counts", "hashes", "docs", "nth", "which", "offsets")
-    kinds = (np.uint8, np.uint16, np.uint64, np.int64, np.uint32, np.uint32, np.int64)
-    texts, counts, hashes, docs, nth, which, offsets = [], [], [], [], [], [], []
+    names = ("subs", "counts", "hashes", "docs", "nth", "which", "offsets")
+    kinds = (np.uint16, np.uint16, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
+    texts, subs, counts, hashes, docs, nth, which, offsets = [], [], [], [], [], [], [], []
     n_texts = n_docs = 0
     for k in range(rows.num_rows):
         one = [np.frombuffer(rows.column(c)[k].as_py(), dtype=t) for c, t in zip(names, kinds)]
-        texts.append(one[0])
+        texts.append(np.frombuffer(zstandard.decompress(rows.column("texts")[k].as_py()), dtype=np.uint8))
+        subs.append(one[0])
         counts.append(one[1].astype(np.int64))
         hashes.append(one[2])
         docs.append(one[3].reshape(-1, 2))
         nth.append(one[4].astype(np.int64) + n_texts)
         which.append(one[5].astype(np.int64) + n_docs)
-        offsets.append(one[6])
+        offsets.append(one[6].astype(np.int64))
         n_texts, n_docs = n_texts + len(one[1]), n_docs + len(one[3]) // 2
-    texts, counts, hashes, docs, nth, which, offsets = map(np.concatenate, (texts, counts, hashes, docs, nth, which, offsets))
+    texts, subs, counts, hashes, docs, nth, which, offsets = map(np.concatenate, (texts, subs, counts, hashes, docs, nth, which, offsets))
     distinct, lead, same = np.unique(hashes, return_index=True, return_inverse=True)
     occurs, doc = same[nth], docs[which, 0]
     least_doc = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least_doc, occurs, doc)
-    lengths = counts + LEAST - 1
-    begin = np.cumsum(lengths) - lengths
-    counts = counts[lead]
-    own = gather(texts, begin[lead], counts + LEAST - 1)
-    lowest = least_documents(own, counts, least_doc)
+    begin = (np.cumsum(counts + LEAST - 1) - (counts + LEAST - 1))[lead]
+    counts, subs = counts[lead], subs[lead]
+    windows = np.cumsum(counts) - counts
+    lowest = np.empty(int(counts.sum()), dtype=np.int64)
+    parts = -(-int((counts + LEAST).sum()) // ARRAY_SYMBOLS)
+    part = subs.astype(np.int64) * parts >> 16
+    for p in range(parts):
+        own = np.flatnonzero(part == p)
+        if len(own):
+            n = counts[own]
+            found = least_documents(gather(texts, begin[own], n + LEAST - 1), n, least_doc[own])
+            lowest[np.repeat(windows[own] - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
     first = np.cumsum(counts) - counts
     low, high = np.minimum.reduceat(lowest, first), np.maximum.reduceat(lowest, first)
     whole = np.flatnonzero(high[occurs] < doc)

@@ -102,6 +102,14 @@ def test_report_equals_brute_force(spark):
     assert by[504] == "" and by[505] == "ab" * 400 and by[506].endswith("x")
 
 
+def test_slices_in_parts_lose_nothing(monkeypatch, spark):
+    docs = spark.createDataFrame([(k, i or 0, t) for k, (i, t) in enumerate(rows())], "h long, id long, text string").select("id", "h", "text")
+    runs = S.candidate_runs(docs, S.repeated_names(docs, "text", 1), 1).toArrow()
+    whole = sorted(map(str, zip(*(x.tolist() for x in S.removed_in_slice(runs)))))
+    monkeypatch.setattr(S, "ARRAY_SYMBOLS", 3000)
+    assert sorted(map(str, zip(*(x.tolist() for x in S.removed_in_slice(runs))))) == whole and whole
+
+
 def test_small_batches_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(S, "FLUSH_BYTES", 3000)
     monkeypatch.setattr(S, "SLICE_BYTES", 1000)
