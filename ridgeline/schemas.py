@@ -61,11 +61,14 @@ _DDL = {
         protocol STRING, response_code INT, content_size BIGINT""",
 }
 
-#: Schemas by table. Money is decimal and dates are dates, so that filters reach the scan and sums don't depend on order.
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+#: Schemas by table, as DDL. Money is decimal and dates are dates, so that filters reach the scan and sums don't depend on order.
+SCHEMAS: dict[str, str] = {name: " ".join(ddl.split()) for name, ddl in _DDL.items()}
+
+
+def struct(name: str) -> StructType:
+    """A declared schema as a type; needs a session."""
+    return StructType.fromDDL(SCHEMAS[name])
 
-#: Columns of a table as a DDL list, for CREATE TABLE.
-COLUMNS: dict[str, str] = {name: " ".join(ddl.split()) for name, ddl in _DDL.items()}
 
 #: Tables of the test data, one Parquet file or folder each.
 TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "embeddings", "pages", "labels", "conversations")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..schemas import COLUMNS, SCHEMAS
+from ..schemas import SCHEMAS
 
 
 def in_memory(spark: SparkSession, rows: list, schema: str | StructType, partitions: int | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def read_delimited(spark: SparkSession, path: str | list[str], table: str | None
 def create_table(spark: SparkSession, name: str, path: str, table: str | None = None, sep: str = "|", header: bool = False) -> DataFrame:
     """An external delimited table in the catalog, by DDL."""
     quoted = path.replace("'", "\\'")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS[table or name]}) USING csv OPTIONS (path '{quoted}', delimiter '{sep}', header '{str(header).lower()}')")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMAS[table or name]}) USING csv OPTIONS (path '{quoted}', delimiter '{sep}', header '{str(header).lower()}')")
     return spark.table(name)
 
 
