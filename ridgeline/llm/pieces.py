@@ -2,7 +2,7 @@
 
 The model file is read by its wire format. A text is escaped (a leading space, spaces become U+2581) and cut before
 each run of U+2581 that follows another character: as no piece holds U+2581 after another character (checked on
-loading), no piece crosses such a cut. Each part is encoded by backtracking: at every position the longest piece
+loading), no piece crosses such a cut. Parts are cut further between characters that are neighbours in no piece, as nothing merges across. Each part is encoded by backtracking: at every position the longest piece
 (found by an Aho-Corasick automaton over the vocabulary) is tried first; a piece may follow the one before it only if merging their joined text anew gives
 exactly these two; a position from which no sequence led to the end is marked in a bitfield and never tried again.
 A sequence whose adjacent pieces are all compatible is the one that merging by score gives. Characters outside the
@@ -105,14 +105,25 @@ class PieceModel:
         #: Pieces whose score is shared by another, longer than a character.
         self.tied = {p for p, i in self.ids.items() if len(p) > 1 and seen[self.scores[i]] > 1}
         self.ties_are_spaces = all(not p.strip(SPACE) for p in self.tied)
+        self.digits = list(map(str, range(len(self.pieces))))
+        #: Pieces as decoding shows them; bytes apart.
+        self.shown = ["" if k == self.CONTROL else " ⁇ " if k == self.UNKNOWN else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds)]
+        self.byte_ids = frozenset(self.bytes.values())
+        self.letters = frozenset(p for p in self.ids if len(p) == 1)
+        #: Neighbouring characters inside any piece. Between two others nothing ever merges.
+        self.inside = {a + b for p in self.ids for a, b in zip(p, p[1:])}
         self.automaton = ahocorasick.Automaton()
         # A piece that merging can't reach is no candidate.
-        self.reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
-        for p in self.reachable:
-            self.automaton.add_word(p, p)
+        reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        for p in reachable:
+            self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
-        self.longest = max(map(len, self.reachable), default=1)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        #: For each piece the longest other that it begins with, or -1.
+        self.shorter = [-1] * len(self.pieces)
+        for p in reachable:
+            self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reachable), -1)
+        self.lengths = list(map(len, self.pieces))
+        self._pairs: dict[int, bool] = {}
         self._cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -143,71 +154,78 @@ class PieceModel:
                 offer(before[a], a)
         return [p for p in parts if p is not None]
 
-    def compatible(self, a: str, b: str) -> bool:
+    def compatible(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' joined text anew gives exactly them."""
-        got = self._pairs.get((a, b))
-        if got is None:
-            if len(self._pairs) > CACHE_PARTS:
-                self._pairs.clear()
-            got = self._pairs[a, b] = self.merge(a + b) == [a, b]
+        x, y = self.pieces[a], self.pieces[b]
+        if len(self._pairs) > CACHE_PARTS:
+            self._pairs.clear()
+        got = self._pairs[a << 20 | b] = self.merge(x + y) == [x, y]
         return got
 
-    def backtrack(self, text: str) -> list[str]:
-        """The sequence of pieces of which all neighbours are compatible."""
+    def backtrack(self, text: str) -> list[int]:
+        """The sequence of pieces of which all neighbours are compatible, for a text of characters that all are pieces."""
         n = len(text)
-        longest: list[int] = [1] * n
-        for last, p in self.automaton.iter(text):
-            first = last - len(p) + 1
-            if len(p) > longest[first]:
-                longest[first] = len(p)
+        lengths, best = [0] * n, [-1] * n  # of the longest piece that starts at each position
+        for last, (length, i) in self.automaton.iter(text):
+            first = last - length + 1
+            if length > lengths[first]:
+                lengths[first], best[first] = length, i
         failed = bytearray((n >> 3) + 1)  # bit i: from position i no sequence reaches the end
-        out: list[str] = []
-        at, length = 0, longest[0]
+        pairs, shorter, size = self._pairs, self.shorter, self.lengths
+        out: list[int] = []
+        at, i, before = 0, best[0], -1
         while True:
-            placed = False
-            while length >= 1:
-                p = text[at : at + length]
-                stop = at + length
-                if (length == 1 or p in self.reachable) and not failed[stop >> 3] >> (stop & 7) & 1 and (not out or self.compatible(out[-1], p)):
-                    out.append(p)
-                    placed = True
-                    break
-                length -= 1
-            if placed:
-                at = stop
-                if at == n:
+            while i >= 0:
+                stop = at + size[i]
+                if not failed[stop >> 3] >> (stop & 7) & 1:
+                    if before < 0:
+                        break
+                    fits = pairs.get(before << 20 | i)
+                    if self.compatible(before, i) if fits is None else fits:
+                        break
+                i = shorter[i]
+            if i >= 0:
+                out.append(i)
+                if stop == n:
                     return out
-                length = longest[at]
+                at, before, i = stop, i, best[stop]
                 continue
             failed[at >> 3] |= 1 << (at & 7)
             if not out:
-                return self.merge(text)  # unreachable for a sound vocabulary
-            p = out.pop()
-            at -= len(p)
-            length = len(p) - 1
+                return [self.ids[p] for p in self.merge(text)]  # not reached for a sound vocabulary
+            last = out.pop()
+            at -= size[last]
+            before, i = out[-1] if out else -1, shorter[last]
+
+    def _cuts(self, text: str) -> list[str]:
+        """The text cut wherever no piece holds both neighbours."""
+        inside, out, first = self.inside, [], 0
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in inside:
+                out.append(text[first:k])
+                first = k
+        out.append(text[first:])
+        return out
 
-    def _part(self, text: str) -> tuple[int, ...]:
+    def _part(self, text: str) -> list[int]:
+        """Ids of a text without inner cuts."""
+        if not self.letters.issuperset(text):  # a character outside the vocabulary stands alone
+            return [self.bytes[b] for b in text.encode("utf-8")] if self.bytes else [self.unknown]
         if (SPACE + SPACE in text) if self.ties_are_spaces else self.tied:
-            pieces = self.merge(text)
-        else:
-            pieces = self.backtrack(text)
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in p.encode("utf-8"))
-            else:
-                out.append(self.unknown)
-        return tuple(out)
+            return [self.ids[p] for p in self.merge(text)]
+        return self.backtrack(text)
 
     def _entry(self, part: str) -> tuple[tuple[int, ...], str, str]:
         """A part's ids, their digits, and its decoded text with all of its spaces. Byte pieces never run on into the next part."""
         got = self._cache.get(part)
         if got is None:
-            ids = self._part(part)
-            got = ids, " ".join(map(str, ids)), self._decode(ids)
+            cuts = self._cuts(part)
+            if len(cuts) > 1:
+                found = [self._entry(c) for c in cuts]
+                got = tuple([i for e in found for i in e[0]]), " ".join([e[1] for e in found]), "".join([e[2] for e in found])
+            else:
+                ids = tuple(self._part(part))
+                got = ids, " ".join([self.digits[i] for i in ids]), self._decode(ids)
             if len(part) <= CACHE_CHARS:
                 if len(self._cache) >= CACHE_PARTS:
                     self._cache.clear()
@@ -247,20 +265,19 @@ class PieceModel:
         return back[1:] if self.prefix and first is not None and self.pieces[first].startswith(SPACE) else back
 
     def _decode(self, ids) -> str:
-        kinds, pieces = self.kinds, self.pieces
+        shown = self.shown
+        if self.byte_ids.isdisjoint(ids):
+            return "".join([shown[i] for i in ids])
         out: list[str] = []
         raw = bytearray()
         for i in ids:
-            kind = kinds[i]
-            if kind == self.BYTE:
-                raw.append(int(pieces[i][3:5], 16))
+            if i in self.byte_ids:
+                raw.append(int(self.pieces[i][3:5], 16))
                 continue
             if raw:
                 out.append(_utf8(raw))
                 raw = bytearray()
-            if kind == self.CONTROL:
-                continue
-            out.append(" ⁇ " if kind == self.UNKNOWN else pieces[i].replace(SPACE, " "))
+            out.append(shown[i])
         if raw:
             out.append(_utf8(raw))
         return "".join(out)
