@@ -37,7 +37,7 @@ BITS_EACH, PROBES, MAX_BITS = 12, 2, 1 << 30
 FLUSH_BYTES = 48 << 20
 SLICE_BYTES = 1 << 20
 #: Characters that one suffix array is made over, about: a slice is cut by name into so many parts that each stays near it.
-ARRAY_SYMBOLS = 1_500_000
+ARRAY_SYMBOLS = 150_000
 NAME_BITS = 40
 
 _rng = np.random.default_rng(20)
@@ -406,8 +406,10 @@ def removed_in_slice(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lowest = np.empty(int(counts.sum()), dtype=np.int64)
     parts = -(-int((counts + LEAST).sum()) // ARRAY_SYMBOLS)
     part = subs.astype(np.int64) * parts >> 16
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
-        own = np.flatnonzero(part == p)
+        own = order[cuts[p] : cuts[p + 1]]
         if len(own):
             n = counts[own]
             found = least_documents(gather(texts, begin[own], n + LEAST - 1), n, least_doc[own])
