@@ -51,3 +51,10 @@ def rounds(df: DataFrame, n: int, *keys: str) -> list[DataFrame]:
 def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     """Each row's part of the sum of value over all rows; the sum is a scalar subquery."""
     return df.withColumn(name, F.col(value) / df.agg(F.sum(value)).scalar())
+
+
+def dealt(df: DataFrame, partitions: int, *keys: str, by_range: bool = False) -> DataFrame:
+    """Rows dealt to partitions by a hash of their keys, or by sampled ranges of them; every value has a place, nulls too."""
+    if not keys:
+        return df.repartition(partitions)
+    return df.repartitionByRange(partitions, *keys) if by_range else df.repartition(partitions, *keys)
