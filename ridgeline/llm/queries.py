@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.session import spread
+
 from .chat import chat_sql
 from .common import table
 from .mixing import mixing_sql
@@ -23,37 +25,37 @@ def piece_model() -> str:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_report
 
-    return simhash_report(table(spark, sf_dir, "documents"))
+    return simhash_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed_report
 
-    return mixed_report(table(spark, sf_dir, "documents"))
+    return mixed_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import dedup_report
 
-    return dedup_report(table(spark, sf_dir, "documents"))
+    return dedup_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encoded
 
-    return encoded(table(spark, sf_dir, "documents"), piece_model())
+    return encoded(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), piece_model())
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scoring import score_report
 
-    return score_report(table(spark, sf_dir, "documents"))
+    return score_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .audio import media_report
 
-    return media_report(table(spark, sf_dir, "documents"))
+    return media_report(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,19 +67,19 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judged
 
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_report
 
-    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_report(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import page_report
 
-    return page_report(table(spark, sf_dir, "pages"))
+    return page_report(spread(table(spark, sf_dir, "pages")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
