@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def clean_line(line: Column) -> Column:
-    """Lower case, without any character but ASCII letters, digits and spaces, and without spaces at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), "[^a-zA-Z0-9 ]", ""))
+    """Lower case, without any character but ASCII letters, digits and spaces, and without spaces at the ends.
+
+    What is kept is extracted rather than the rest removed: matching the class itself is several times faster than matching its complement. Characters go
+    before lower-casing, so the two others that turn into ASCII letters are replaced by hand: the Kelvin sign, and I with a dot (which becomes i and a combining dot).
+    """
+    kept = F.regexp_extract_all(F.translate(line, "\u212a\u0130", "ki"), F.lit("[a-zA-Z0-9 ]+"), F.lit(0))
+    return F.trim(F.lower(F.array_join(kept, "")))
 
 
 def words(line: Column) -> Column:

@@ -12,21 +12,30 @@ LENIENT = r'^(\S+) (\S+) (\S+) \[([\w:/]+\s[+\-]\d{4})\] "(\S+) (\S+)\s*.*(\S*)"
 MARK = "\x01"
 
 
-def parsed(line: Column, pattern: str = LENIENT) -> Column:
-    """A struct of ok and the record's fields. ok is false where the line doesn't match, or its time or size can't be read; a size of "-" is 0.
+def groups(line: Column, pattern: str = LENIENT) -> Column:
+    """The nine groups of a line that matches, else null.
 
-    Times are those written in the line, without regard to the zone. The pattern runs once a line: a match is rewritten as its
-    groups with a control character between them, which no log line holds (one that does counts as not matched).
+    The pattern runs once a line: a match is rewritten as its groups with a control character between them, which no log line
+    holds (one that does counts as not matched).
     """
     rewritten = F.regexp_replace(line, pattern + r"[\s\S]*", MARK.join(f"${i}" for i in range(1, 10)))
-    parts = F.when(~F.contains(line, F.lit(MARK)), F.split(rewritten, MARK))
+    parts = F.split(rewritten, MARK)
+    return F.when(~F.contains(line, F.lit(MARK)) & F.contains(rewritten, F.lit(MARK)), parts)
 
-    def group(i: int) -> Column:
-        return F.get(parts, F.lit(i - 1))
 
-    time = F.try_to_timestamp(F.substring(group(4), 1, 20), F.lit("dd/MMM/yyyy:HH:mm:ss")).cast("timestamp_ntz")
-    size = F.when(group(9) == "-", F.lit(0)).otherwise(group(9).try_cast("bigint")).cast("bigint")
-    ok = F.coalesce((F.size(parts) == 9) & time.isNotNull() & size.isNotNull(), F.lit(False))
+def time_of(found: Column) -> Column:
+    """The time written in the line, without regard to the zone; null if it is none."""
+    return F.try_to_timestamp(F.substring(F.get(found, F.lit(3)), 1, 20), F.lit("dd/MMM/yyyy:HH:mm:ss")).cast("timestamp_ntz")
+
+
+def size_of(found: Column) -> Column:
+    """The size; 0 for "-", null for anything else that isn't a number."""
+    size = F.get(found, F.lit(8))
+    return F.when(size == "-", F.lit(0)).otherwise(size.try_cast("bigint")).cast("bigint")
+
+
+def record(found: Column, time: Column, size: Column) -> Column:
+    """The record's fields from groups, time and size."""
     names = ["host", "client_identd", "user_id", None, "method", "endpoint", "protocol"]
-    fields = [time.alias("date_time") if n is None else group(i).alias(n) for i, n in enumerate(names, 1)]
-    return F.struct(ok.alias("ok"), *fields, group(8).try_cast("int").alias("response_code"), size.alias("content_size"))
+    fields = [time.alias("date_time") if n is None else F.get(found, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return F.struct(*fields, F.get(found, F.lit(7)).try_cast("int").alias("response_code"), size.alias("content_size"))

@@ -11,10 +11,16 @@ from .basics import count_by, share_of_total, top_k
 
 
 def parse(lines: DataFrame, pattern: str = W.LENIENT, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """The records of the lines that can be read, and the lines that can't (column line)."""
-    both = lines.select(F.col(col).alias("line"), W.parsed(F.col(col), pattern).alias("r"))
-    good = both.where("r.ok").select("r.*").drop("ok")
-    return good, both.where("not r.ok").select("line")
+    """The records of the lines that can be read, and the lines that can't (column line): those that don't match, or whose time or size can't be read.
+
+    Each step is a projection of its own and records come out of a generator, so that the pattern runs once a line: a filter on
+    parsed fields isn't pushed below the parsing, where it would parse again.
+    """
+    found = lines.select(F.col(col).alias("line"), W.groups(F.col(col), pattern).alias("_found"))
+    read = found.select("line", "_found", W.time_of(F.col("_found")).alias("_time"), W.size_of(F.col("_found")).alias("_size"))
+    ok = F.col("_time").isNotNull() & F.col("_size").isNotNull()
+    good = read.select(F.inline(F.when(ok, F.array(W.record(F.col("_found"), F.col("_time"), F.col("_size"))))))
+    return good, read.where(~ok).select("line")
 
 
 def size_stats(log: DataFrame) -> DataFrame:

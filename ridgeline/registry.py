@@ -12,6 +12,7 @@ from .operators import accesslog as A
 from .operators import basics as B
 from .operators import star
 from .operators import wordcount as W
+from .session import spread
 from .streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +56,7 @@ _WORDS = f"WITH {_LINES}, words AS (SELECT word FROM (SELECT unnest(string_split
 
 
 def lines(spark, folder):
-    return W.lines_of(table(spark, folder, "documents"))
+    return W.lines_of(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def words(spark, folder):
@@ -146,7 +147,7 @@ def clf_lines(spark, folder) -> DataFrame:
     code = F.when(F.col("event_type") == "error", F.lit("404 -")).when(F.col("event_type") == "signup", F.concat(F.lit("302 "), size)).otherwise(F.concat(F.lit("200 "), size))
     last = F.when(F.col("user_id") % 5 == 0, F.lit("a b")).otherwise((F.col("user_id") % 7).cast("string"))
     line = F.concat(F.lit("u"), F.col("user_id"), F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' -0400] "GET /'), F.col("event_type"), F.lit("/"), last, F.lit(' HTTP/1.0" '), code)
-    return table(spark, folder, "events").select(line.alias("value"))
+    return spread(table(spark, folder, "events").select("ts", "user_id", "event_type", "value")).select(line.alias("value"))
 
 
 def log(spark, folder, pattern: str = weblog.LENIENT) -> DataFrame:
