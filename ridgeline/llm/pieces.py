@@ -24,7 +24,7 @@ import ahocorasick
 
 SPACE = "▁"
 #: Parts kept for reuse by a worker; a full cache starts anew.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 250_000
 #: Parts up to this long are kept.
 CACHE_CHARS = 64
 
@@ -124,7 +124,7 @@ class PieceModel:
             self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reachable), -1)
         self.lengths = list(map(len, self.pieces))
         self._pairs: dict[int, bool] = {}
-        self._cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self._cache: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merges adjacent symbols, the best score first and the leftmost of equals, until none joins into a piece."""
@@ -215,17 +215,17 @@ class PieceModel:
             return [self.ids[p] for p in self.merge(text)]
         return self.backtrack(text)
 
-    def _entry(self, part: str) -> tuple[tuple[int, ...], str, str]:
-        """A part's ids, their digits, and its decoded text with all of its spaces. Byte pieces never run on into the next part."""
+    def _entry(self, part: str) -> tuple[int, str, str]:
+        """A part's number of ids, their digits, and its decoded text with all of its spaces. Byte pieces never run on into the next part."""
         got = self._cache.get(part)
         if got is None:
             cuts = self._cuts(part)
             if len(cuts) > 1:
                 found = [self._entry(c) for c in cuts]
-                got = tuple([i for e in found for i in e[0]]), " ".join([e[1] for e in found]), "".join([e[2] for e in found])
+                got = sum([e[0] for e in found]), " ".join([e[1] for e in found]), "".join([e[2] for e in found])
             else:
-                ids = tuple(self._part(part))
-                got = ids, " ".join([self.digits[i] for i in ids]), self._decode(ids)
+                ids = self._part(part)
+                got = len(ids), " ".join([self.digits[i] for i in ids]), self._decode(ids)
             if len(part) <= CACHE_CHARS:
                 if len(self._cache) >= CACHE_PARTS:
                     self._cache.clear()
@@ -251,13 +251,13 @@ class PieceModel:
             out.append(SPACE * held)
         return out
 
-    def entries(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+    def entries(self, text: str) -> list[tuple[int, str, str]]:
         get, make = self._cache.get, self._entry
         return [get(p) or make(p) for p in self.parts(text)]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, without an end id."""
-        return [i for e in self.entries(text or "") for i in e[0]]
+        return [int(i) for e in self.entries(text or "") for i in e[1].split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         back = self._decode(ids)
@@ -328,8 +328,8 @@ def encoder(path: str, keep: bool = False):
         if m.prefix and back.startswith(" "):
             back = back[1:]
         digits = " ".join([e[1] for e in found] + [str(m.end)])
-        row = sum(len(e[0]) for e in found) + 1, hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
-        return (*row, [*(i for e in found for i in e[0]), m.end]) if keep else row
+        row = sum([e[0] for e in found]) + 1, hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
+        return (*row, list(map(int, digits.split(" ")))) if keep else row
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = load(path)
