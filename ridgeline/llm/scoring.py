@@ -5,9 +5,9 @@ holds (n-gram, 1) ... (n-gram, level), so probing level after level until one is
 where the counts are summed: hash slices own their segments. The model's probability of a word w after v is (min(c(v w), c(v)) + MU * p(w)) / (c(v) + MU) with
 p(w) = (c(w) + 1) / (N + V + 1), all counts from probes but those of the ``COMMON`` most frequent words, which a small table holds exactly.
 
-Sizes: the filter takes ``BITS_EACH`` bits an entry and at most ``MAX_BITS`` bits in all (128 MB, the bound of what is gathered and broadcast). Should
-the pairs of a corpus not fit, the pairs of lowest count are left out of the filter, slice by slice, by one rule at any size: the
-least power of two is the floor at which a slice's entries fit its share. Counts themselves are always summed over all documents.
+Sizes: the filter takes ``BITS_EACH`` bits an entry and holds every word and pair of the training documents at any size. Segments of pairs are gathered and broadcast
+while they take at most ``PAIR_BITS`` bits in all; beyond, they stay in their slices, and the documents' pairs go to them by an exchange, but for the most frequent
+pairs of each slice (``COMMON`` in all), whose levels are broadcast. The levels probed are the same either way. Segments of words are always broadcast; they grow with the distinct words.
 
 The base score needs exact counts of all words: words outside the common table are looked up by an exchange of (word hash, document) lists with the
 count table, slice by slice, and only sums by document come back, packed by slice of the document.
@@ -29,14 +29,16 @@ from .common import materialize, sketch_parts, slices
 
 MU = 500.0
 COMMON = 1 << 17
-BITS_EACH, PROBES, MAX_BITS = 10, 3, 1 << 30
-#: Share of the filter's bits that words have; pairs have the rest.
-WORD_SHARE = 0.25
+BITS_EACH, PROBES = 10, 3
+#: Up to so many bits the segments of pairs are broadcast; more are probed where they are.
+PAIR_BITS = 3 << 28
 LEVELS = 40
 #: Tokens that a worker counts before it passes the sums on.
 FLUSH_TOKENS = 2_000_000
 #: Distinct (word, document) that a worker gathers for the exchange before it passes them on.
 FLUSH_WORDS = 1_000_000
+#: Pairs that a worker gathers for the exchange before it passes them on.
+FLUSH_PAIRS = 2_000_000
 #: Bytes of text taken at a time.
 SLICE_BYTES = 2 << 20
 KEY_BITS = 40
@@ -174,10 +176,10 @@ def positions(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[
             h = h + step
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[bytes, int]:
-    """A slice's segment, and the least count in it."""
+def build_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
+    """A slice's segment, and the least count in it: 1 unless ``most_bits`` bounds the segment, which scoring never asks for."""
     levels = level_of(counts)
-    floor, room = 1, max(64, most_bits // BITS_EACH)
+    floor, room = 1, max(64, most_bits // BITS_EACH) if most_bits else np.inf
     while levels[counts >= floor].sum() > room:
         floor *= 2
     keys, levels = keys[counts >= floor] & np.uint64((1 << KEY_BITS) - 1), levels[counts >= floor]
@@ -216,11 +218,21 @@ class Filter:
         return out
 
 
+def probe(segment: bytes, keys: np.ndarray) -> np.ndarray:
+    """The levels of one slice's n-grams, by the low 40 bits of their hashes."""
+    return Filter([segment]).levels(keys)
+
+
 class Model:
-    def __init__(self, words: Filter, pairs_: Filter, common: np.ndarray, common_counts: np.ndarray, total: int, distinct: int):
+    """pairs_ is None where the pairs' segments are too large to broadcast; top and top_levels are then the most frequent pairs (``pair_codes``) with their levels."""
+
+    def __init__(self, words: Filter, pairs_: Filter | None, common: np.ndarray, common_counts: np.ndarray, total: int, distinct: int, top: np.ndarray, top_levels: np.ndarray, parts: int):
         self.words, self.pairs, self.common, self.common_counts = words, pairs_, common, common_counts
         self.total, self.distinct = total, distinct
         self.norm = float(total + distinct + 1)
+        self.top, self.top_levels, self.parts = top, top_levels, parts
+        #: All counts that a word can have here, by level for words outside the common table.
+        self.values = np.concatenate([COUNTS, np.unique(common_counts)[::-1].astype(np.float64)])
 
     def common_of(self, hashes: np.ndarray) -> np.ndarray:
         """Exact counts of common words, -1 of others."""
@@ -229,21 +241,46 @@ class Model:
         at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
         return np.where(self.common[at] == hashes, self.common_counts[at], -1)
 
-    def scores(self, hashes: np.ndarray, counts: np.ndarray, exact: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; exact: common_of(hashes)."""
-        c = exact.astype(np.float64)
+    def codes(self, hashes: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        """Where each word's count is in ``values``; exact: common_of(hashes)."""
+        out = len(self.values) - 1 - np.searchsorted(self.values[len(COUNTS) :][::-1], exact)
         rare = np.flatnonzero(exact < 0)
-        c[rare] = COUNTS[self.words.levels(hashes[rare])]
-        before, both = pairs(hashes, counts)
+        out[rare] = self.words.levels(hashes[rare])
+        return out
+
+    def terms(self, levels: np.ndarray, history: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 probability of each token from its pair's level and the codes of both words."""
+        history, c = self.values[history], self.values[word]
+        return np.log10((np.minimum(COUNTS[levels], history) + MU * (c + 1) / self.norm) / (history + MU))
+
+    def read(self, hashes: np.ndarray, counts: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's code, its predecessor's, the hash of both, and the pair's level, -1 where only its slice knows it."""
+        word = self.codes(hashes, exact)
+        _, both = pairs(hashes, counts)
         starts = np.cumsum(counts) - counts
-        history = np.concatenate([[0.0], c[:-1]])
-        end = self.common_of(np.array([END_HASH], dtype=np.uint64))[0]
-        history[starts] = float(end) if end >= 0 else COUNTS[self.words.levels(np.array([END_HASH], dtype=np.uint64))[0]]
-        before[starts] = END_HASH
+        history = np.concatenate([[0], word[:-1]]).astype(np.int64)
+        end = np.array([END_HASH], dtype=np.uint64)
+        history[starts] = self.codes(end, self.common_of(end))[0]
         both[starts] = pairs_after_end(hashes[starts])
-        joint = np.minimum(COUNTS[self.pairs.levels(both)], history)
-        p = (joint + MU * (c + 1) / self.norm) / (history + MU)
-        return np.add.reduceat(np.log10(p), starts) if len(starts) else np.zeros(0)
+        if self.pairs is not None:
+            return word, history, both, self.pairs.levels(both)
+        level = np.full(len(both), -1, dtype=np.int64)
+        if len(self.top):
+            own = pair_codes(both, self.parts)
+            at = np.minimum(np.searchsorted(self.top, own), len(self.top) - 1)
+            level = np.where(self.top[at] == own, self.top_levels[at], -1)
+        return word, history, both, level
+
+    def scores(self, hashes: np.ndarray, counts: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, without the tokens whose pairs only their slices know; exact: common_of(hashes)."""
+        word, history, _, level = self.read(hashes, counts, exact)
+        p = np.where(level >= 0, self.terms(np.maximum(level, 0), history, word), 0.0)
+        return np.add.reduceat(p, np.cumsum(counts) - counts) if len(counts) else np.zeros(0)
+
+
+def pair_codes(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """What a slice tells pairs apart by: the slice and the low 40 bits."""
+    return slice_of(hashes, parts).astype(np.uint64) << np.uint64(KEY_BITS) | hashes & np.uint64((1 << KEY_BITS) - 1)
 
 
 def pairs_after_end(hashes: np.ndarray) -> np.ndarray:
@@ -251,30 +288,36 @@ def pairs_after_end(hashes: np.ndarray) -> np.ndarray:
         return mix(END_HASH * np.uint64(0x2545F4914F6CDD1D) + hashes, 1)
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]:
-    """Model of the texts, the table of all words' counts (slice, keys, n) and the number of slices."""
+def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, DataFrame, int]:
+    """Model of the texts, the table of all words' counts (slice, keys, n), that of the pairs' segments (slice, segment) and the number of slices."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     parts = sketch_parts(spark)
     partial = count_ngrams(docs, text_col, parts)
-    word_bits, pair_bits = int(MAX_BITS * WORD_SHARE) // parts, int(MAX_BITS * (1 - WORD_SHARE)) // parts
+    most = COMMON // parts + 1
 
     def reduce_(key, table):
         kind, p = key[0].as_py(), key[1].as_py()
         keys, n = _summed(table, kind)
-        segment, floor = build_segment(keys, n, word_bits if kind == 1 else pair_bits)
+        segment, _ = build_segment(keys, n)
         # counts of counts, by power of two: they tell where the common words begin
         histogram = np.bincount(level_of(n), weights=n > 0, minlength=LEVELS + 1).astype(np.int64) if len(n) else np.zeros(LEVELS + 1, dtype=np.int64)
-        raw = (keys.tobytes(), n.tobytes()) if kind == 1 else (None, None)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "slice": pa.array([p], pa.int32()), "segment": pa.array([segment], pa.binary()), "floor": pa.array([floor], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([len(n)], pa.int64()), "histogram": pa.array([histogram.tolist()], pa.list_(pa.int64())), "keys": pa.array([raw[0]], pa.binary()), "n": pa.array([raw[1]], pa.binary())})
-
-    schema = "kind int, slice int, segment binary, floor long, total long, distinct long, histogram array<long>, keys binary, n binary"
+        if kind == 2 and len(n):  # of pairs only the most frequent, with the levels that the segment gives
+            keys = np.sort(keys[np.argpartition(n, -most)[-most:]] if len(n) > most else keys)
+            raw = ((np.uint64(p) << np.uint64(KEY_BITS) | keys).tobytes(), probe(segment, keys).tobytes())
+        else:
+            raw = (keys.tobytes(), n.tobytes())
+        return pa.table({"kind": pa.array([kind], pa.int32()), "slice": pa.array([p], pa.int32()), "segment": pa.array([segment], pa.binary()), "total": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([len(n)], pa.int64()), "histogram": pa.array([histogram.tolist()], pa.list_(pa.int64())), "keys": pa.array([raw[0]], pa.binary()), "n": pa.array([raw[1]], pa.binary())})
+
+    schema = "kind int, slice int, segment binary, total long, distinct long, histogram array<long>, keys binary, n binary"
     reduced = materialize(partial.groupBy("kind", "slice").applyInArrow(reduce_, schema))
     sums = reduced.where("kind = 1").agg(F.sum("total"), F.sum("distinct")).first()
     histogram = np.zeros(LEVELS + 1, dtype=np.int64)
     segments: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
-    for r in reduced.select("kind", "slice", "segment", "histogram").toLocalIterator():  # a row a slice; MAX_BITS in all
+    pair_bytes = reduced.where("kind = 2").agg(F.sum(F.length("segment"))).first()[0] or 0
+    whole = 8 * pair_bytes <= PAIR_BITS
+    for r in reduced.where(F.lit(True) if whole else F.col("kind") == 1).select("kind", "slice", "segment", "histogram").toLocalIterator():  # a row a slice
         segments[r["kind"]][r["slice"]] = bytes(r["segment"])
         if r["kind"] == 1:
             histogram += np.array(r["histogram"])
@@ -290,12 +333,100 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, int]
                 yield pa.RecordBatch.from_arrays([pa.array([keys[n >= least].tobytes()], pa.binary()), pa.array([n[n >= least].tobytes()], pa.binary())], names=["keys", "n"])
 
     words = reduced.where("kind = 1").select("slice", "keys", "n")
-    rows = words.select("keys", "n").mapInArrow(common, "keys binary, n binary").collect()  # at most COMMON words
-    keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
-    n = np.concatenate([np.frombuffer(r["n"], dtype=np.int64) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-    order = np.argsort(keys)
-    filters = [Filter([segments[kind].get(p, b"") for p in range(parts)]) for kind in (1, 2)]
-    return Model(*filters, keys[order], n[order], int(sums[0] or 0), int(sums[1] or 0)), words, parts
+
+    def sorted_table(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate([np.frombuffer(r[c], dtype=t) for r in rows] or [np.zeros(0, dtype=t)]) for c, t in (("keys", np.uint64), ("n", np.int64)))
+        order = np.argsort(keys)
+        return keys[order], n[order]
+
+    frequent = sorted_table(words.select("keys", "n").mapInArrow(common, "keys binary, n binary").collect())  # at most COMMON words
+    top = sorted_table([] if whole else reduced.where("kind = 2").select("keys", "n").collect())  # COMMON pairs and one a slice at most
+    known, joint = (Filter([segments[kind].get(p, b"") for p in range(parts)]) if kind == 1 or whole else None for kind in (1, 2))
+    return Model(known, joint, *frequent, int(sums[0] or 0), int(sums[1] or 0), *top, parts), words, reduced.where("kind = 2").select("slice", "segment"), parts
+
+
+def least_type(x: np.ndarray) -> np.ndarray:
+    """x in 2 bytes each, or 4 where those don't do."""
+    return x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def of_width(raw: bytes, n: int) -> np.ndarray:
+    """What least_type made n numbers of."""
+    return np.frombuffer(raw, dtype=np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+def by_document(ids: np.ndarray, parts: int, **sums: np.ndarray):
+    """Rows of sums for documents (i, h), packed by slice of the document."""
+    import pyarrow as pa
+
+    own = document_slice(ids[:, 0], ids[:, 1], parts)
+    order = np.argsort(own, kind="stable")
+    cuts = np.searchsorted(own[order], np.arange(parts + 1))
+    some = [(p, m) for p in range(parts) if len(m := order[cuts[p] : cuts[p + 1]])]
+    columns = {"slice": pa.array([p for p, _ in some], pa.int32()), "docs": pa.array([ids[m].tobytes() for _, m in some], pa.binary())}
+    return pa.table(columns | {c: pa.array([sums[c][m].tobytes() if c in sums else None for _, m in some], pa.binary()) for c in ("base", "known", "score")})
+
+
+SUMS = "slice int, docs binary, base binary, known binary, score binary"
+
+
+def pair_sums(doc: DataFrame, held, segments: DataFrame, parts: int) -> DataFrame:
+    """What the pairs that only their slices know add to the scores of documents (text, i, h), packed by slice of the document."""
+    import pyarrow as pa
+
+    names = ["slice", "docs", "at", "keys", "history", "word"]
+
+    def pack(asked: list, ids: list) -> Iterator[pa.RecordBatch]:
+        text, both, history, word = (np.concatenate([x[k] for x in asked]) for k in range(4))
+        ids_ = np.concatenate(ids)
+        asked.clear()
+        ids.clear()
+        own = slice_of(both, parts)
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(parts + 1))
+        for p in range(parts):
+            m = order[cuts[p] : cuts[p + 1]]
+            if len(m):
+                used, at = np.unique(text[m], return_inverse=True)
+                raw = both[m].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                blobs = [ids_[used].tobytes(), least_type(at).tobytes(), raw, least_type(history[m]).tobytes(), least_type(word[m]).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
+
+    def ask(batches):
+        m = held.value
+        asked, ids, n_docs, n_pairs = [], [], 0, 0
+        for batch in batches:
+            first = 0
+            for part in slices(batch.column("text"), SLICE_BYTES):
+                k = len(part)
+                ids.append(np.stack([batch.column(c).slice(first, k).to_numpy(zero_copy_only=False) for c in ("i", "h")], axis=1))
+                first += k
+                hashes, counts = tokens(part)
+                word, history, both, level = m.read(hashes, counts, m.common_of(hashes))
+                open_ = np.flatnonzero(level < 0)
+                text = np.repeat(np.arange(n_docs, n_docs + k), counts)[open_]
+                asked.append((text, both[open_], history[open_].astype(np.uint32), word[open_].astype(np.uint32)))
+                n_docs, n_pairs = n_docs + k, n_pairs + len(open_)
+                if n_pairs >= FLUSH_PAIRS:
+                    yield from pack(asked, ids)
+                    n_docs = n_pairs = 0
+        if asked:
+            yield from pack(asked, ids)
+
+    def answer(key, rows, table):
+        segment = next((x.as_py() for x in table.column("segment")), b"")
+        ids, adds = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
+        m = held.value
+        for k in range(rows.num_rows):
+            docs_, at, raw, history, word = (rows.column(c)[k].as_py() for c in names[1:])
+            keys = _keys(raw, 2)
+            at, history, word = (of_width(x, len(keys)) for x in (at, history, word))
+            ids.append(np.frombuffer(docs_, dtype=np.int64).reshape(-1, 2))
+            adds.append(np.bincount(at, weights=m.terms(probe(segment, keys), history, word), minlength=len(ids[-1])))
+        return by_document(np.concatenate(ids), parts, score=np.concatenate(adds))
+
+    asks = doc.select("text", "i", "h").mapInArrow(ask, "slice int, docs binary, at binary, keys binary, history binary, word binary")
+    return asks.groupBy("slice").cogroup(segments.groupBy("slice")).applyInArrow(answer, SUMS)
 
 
 def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +435,7 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
     from pyspark.sql.functions import arrow_udf
 
     spark = docs.sparkSession
-    model, words, parts = fit(training, text_col)
+    model, words, segments, parts = fit(training, text_col)
     held = spark.sparkContext.broadcast(model)
     unknown = float(-np.log10(model.norm))
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
@@ -379,17 +510,13 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
             ids.append(docs_)
             adds.append(np.bincount(at, weights=np.log10(c + 1.0) * times, minlength=len(docs_)))
             knows.append(np.bincount(at, weights=(c > 0) * times, minlength=len(docs_)).astype(np.int64))
-        out = []
-        if ids:
-            both, add, know = map(np.concatenate, (ids, adds, knows))
-            own = document_slice(both[:, 0], both[:, 1], parts)
-            order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(parts + 1))
-            out = [(p, both[m].tobytes(), add[m].tobytes(), know[m].tobytes()) for p in range(parts) if len(m := order[cuts[p] : cuts[p + 1]])]
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table({c: pa.array(x, pa.int32() if c == "slice" else pa.binary()) for c, x in zip(("slice", "docs", "base", "known"), columns)})
-
-    found = asked.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(look_up, "slice int, docs binary, base binary, known binary")
+        if not ids:
+            ids, adds, knows = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+        return by_document(np.concatenate(ids), parts, base=np.concatenate(adds), known=np.concatenate(knows))
+
+    found = asked.groupBy("slice").cogroup(words.groupBy("slice")).applyInArrow(look_up, SUMS)
+    if model.pairs is None:
+        found = found.unionAll(pair_sums(doc, held, segments, parts))
     direct = passed.where("slice is null").select("id", "i", "h", "n_tokens", "n_known", "base", "score")
 
     def own_slice(i: pa.Array, h: pa.Array) -> pa.Array:
@@ -405,11 +532,12 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
         back = back.reshape(-1)
         mine, theirs = back[: len(own)], back[len(own) :]
         times = np.maximum(np.bincount(mine, minlength=len(found)), 1)  # equal rows asked as often; each gets its share
-        base, known = (np.bincount(theirs, weights=np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in adds.column(c)] or [np.zeros(0)]), minlength=len(found)) / times for c, t in (("base", np.float64), ("known", np.int64)))
+        blobs = lambda c, t: [np.frombuffer(x.as_py(), dtype=t) if x.is_valid else np.zeros(len(i), dtype=t) for x, i in zip(adds.column(c), ids)]
+        base, known, score = (np.bincount(theirs, weights=np.concatenate(blobs(c, t) or [np.zeros(0)]), minlength=len(found)) / times for c, t in (("base", np.float64), ("known", np.int64), ("score", np.float64)))
         n = rows.column("n_tokens").to_numpy()
         return pa.table({
             "id": rows.column("id"), "n_tokens": pa.array(n), "n_known": pa.array(rows.column("n_known").to_numpy() + np.rint(known[mine]).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(n), total, dtype=np.int64)), "base_score": pa.array(rows.column("base").to_numpy() + base[mine] + n * unknown), "score": rows.column("score"),
+            "train_tokens": pa.array(np.full(len(n), total, dtype=np.int64)), "base_score": pa.array(rows.column("base").to_numpy() + base[mine] + n * unknown), "score": pa.array(rows.column("score").to_numpy() + score[mine]),
         })
 
     direct = direct.withColumn("slice", arrow_udf("int")(own_slice)("i", "h"))

@@ -102,3 +102,15 @@ def test_empty_tables(spark):
     only = spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b")], docs.schema)
     (r,) = S.score_report(only).collect()
     assert (r.train_tokens, r.n_known, r.n_tokens) == (0, 0, 3) and r.held_out and r.base_score == 0 and r.score <= 0
+
+
+def test_pairs_beyond_the_broadcast_give_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(S, "COMMON", 8)
+    monkeypatch.setattr(S, "FLUSH_PAIRS", 500, raising=False)
+    scores = {}
+    for room in (1 << 30, 4000):  # bits for all n-grams once, and for few of them
+        for name in ("MAX_BITS", "PAIR_BITS"):
+            monkeypatch.setattr(S, name, room, raising=False)
+        scores[room], _, _ = check(spark)
+    assert scores[4000].keys() == scores[1 << 30].keys()
+    assert all(math.isclose(s, scores[1 << 30][k], rel_tol=1e-9) for k, s in scores[4000].items())
