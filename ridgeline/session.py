@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,17 @@ def build_session(app: str = "ridgeline", master: str | None = None, conf: dict[
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")) is not None
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where the session has none, as in tests."""
+    """A new folder under spark.checkpoint.dir, which all machines share. A session of one machine that has none set, as in tests, gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
