@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.session import scratch_dir
+
 #: Words are runs of anything but the six ASCII white-space characters; bytes.split() splits alike.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only a session that has none, as in tests, gets a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -45,6 +39,32 @@ def drop_scratch(df: DataFrame) -> None:
         parent.getFileSystem(conf).delete(parent, True)
 
 
+def nested(df: DataFrame) -> DataFrame:
+    """df as the one struct column row: no name that an operator adds beside it can clash with the caller's. ``select("row.*")`` gives df back."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def field(name: str) -> Column:
+    """A column of the caller's in a nested table."""
+    return F.col("row").getField(name)
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+_sent: list[Broadcast] = []
+
+
+def broadcast(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast variable. Executors drop their copies of those sent before; a query that still needs one fetches it anew."""
+    for old in _sent:
+        old.unpersist()
+    _sent[:] = [spark.sparkContext.broadcast(value)]
+    return _sent[0]
+
+
 def count_words(text: Column) -> Column:
     """Words of a text as long, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
@@ -55,6 +75,16 @@ def sketch_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of text for which a hash exchange gets a slice of its own, at least.
+SLICE_TEXT = 64 << 20
+
+
+def slice_count(docs: DataFrame, text_col: str) -> int:
+    """Slices for an exchange of what the texts hold: the session's partitions, or more where the texts ask for more. Reads the lengths of all texts."""
+    n = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(sketch_parts(docs.sparkSession), -(-n // SLICE_TEXT))
+
+
 def slices(texts, limit: int = 8 << 20):
     """Parts of an Arrow string array of at most about ``limit`` bytes, one row at least; nulls become empty texts."""
     import numpy as np
@@ -81,12 +111,47 @@ def struct_rows(columns, fields):
     return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def arrow_function(run, kind: str):
-    """An Arrow function over batches of one text column, evaluated once a row."""
-    from collections.abc import Iterator
+#: What empties the caches that modules keep in a worker, by module.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps_cache(owner: str, empty: Callable[[], None]) -> None:
+    """Has ``empty`` called when another operator's task begins in this worker, and when such a task ends."""
+    _caches[owner] = empty
+
+
+def tidy(owner: str | None = None) -> None:
+    """Gives memory that nothing uses back to the system, and empties all caches but the owner's: workers outlive stages."""
+    import pyarrow as pa
 
+    for name, empty in _caches.items():
+        if name != owner:
+            empty()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def tidied(run: Callable, owner: str | None = None) -> Callable:
+    """A worker's function over batches that tidies up before its first batch and after its last."""
+
+    def whole(batches: Iterator) -> Iterator:
+        tidy(owner)
+        try:
+            yield from run(batches)
+        finally:
+            tidy(owner)
+
+    return whole
+
+
+def arrow_function(run, kind: str, owner: str | None = None):
+    """An Arrow function over batches of one text column, evaluated once a row."""
     import pyarrow as pa
     from pyspark.sql.functions import arrow_udf
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(kind)(run).asNondeterministic()
+    whole = tidied(run, owner)
+    whole.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(kind)(whole).asNondeterministic()

@@ -21,10 +21,13 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+from pyspark.sql import functions as F
+
+from .common import arrow_function, keeps_cache
 
 SPACE = "▁"
-#: Parts kept for reuse by a worker; a full cache starts anew.
-CACHE_PARTS = 250_000
+#: Parts kept for reuse by a worker, some 40 MB at most; a full cache starts anew, and other operators' tasks empty it.
+CACHE_PARTS = 120_000
 #: Parts up to this long are kept.
 CACHE_CHARS = 64
 
@@ -157,7 +160,7 @@ class PieceModel:
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' joined text anew gives exactly them."""
         x, y = self.pieces[a], self.pieces[b]
-        if len(self._pairs) > CACHE_PARTS:
+        if len(self._pairs) >= CACHE_PARTS:
             self._pairs.clear()
         got = self._pairs[a << 20 | b] = self.merge(x + y) == [x, y]
         return got
@@ -307,6 +310,13 @@ def _utf8(raw: bytearray) -> str:
 _models: dict[str, PieceModel] = {}
 
 
+def _forget() -> None:
+    _models.clear()
+
+
+keeps_cache(__name__, _forget)
+
+
 def load(path: str) -> PieceModel:
     """The model of a path, built once a worker."""
     if path not in _models:
@@ -318,7 +328,6 @@ def load(path: str) -> PieceModel:
 def encoder(path: str, keep: bool = False):
     """An Arrow function of a text column: n_tokens, ids_sha256, decoded_sha256 and, if ``keep``, ids."""
     import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
 
     kind = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>" * keep + ">"
 
@@ -340,10 +349,9 @@ def encoder(path: str, keep: bool = False):
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
             yield pa.StructArray.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(kind)(run).asNondeterministic()
+    return arrow_function(run, kind, __name__)
 
 
 def encoded(docs, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False):
     """A row for each document: its id and what ``encoder`` gives. Nothing is shuffled."""
-    return docs.select(id_col, encoder(path, keep)(text_col).alias("_e")).select(id_col, "_e.*")
+    return docs.select(F.col(id_col).alias("id"), encoder(path, keep)(text_col).alias("e")).select(F.col("id").alias(id_col), "e.*")

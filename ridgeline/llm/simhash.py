@@ -9,7 +9,8 @@ listed under all values one bit away and under their own; two that are at most t
 under one value (65 at most) are at most two bits apart, so a star under each value links them with 65 rows a fingerprint and no pairs.
 
 Defined results: a text of fewer than three words is one shingle; texts without words and nulls have fingerprint zero and are
-linked like any other; a null id never names a group unless all its ids are null; repeated rows get equal results.
+linked like any other; a null id never names a group unless all its ids are null; repeated rows get equal results; of rows that tie for least id
+the one of least fingerprint and text hash stays; a very long text is hashed in parts of 65,536 shingles; an empty table gives an empty result; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, materialize, slices
+from .common import arrow_function, field, materialize, nested, slices
 from .components import components
 
 DISTANCE, BLOCKS, HOT = 2, 5, 16
@@ -110,7 +111,9 @@ def grouped(prints: DataFrame) -> DataFrame:
 
 
 def prints_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return materialize(docs.select(F.col(id_col).alias("id"), fingerprint()(text_col).alias("fp")))
+    """id, text_hash and fp of each row."""
+    text = F.col(text_col)
+    return materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), fingerprint()(text).alias("fp")))
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -123,10 +126,15 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group the one of least id (then least fingerprint), a repeated row once."""
-    columns = docs.columns
+    """The rows of docs that stay: of each group the one of least id (then least fingerprint, then least hash of its text), a repeated row once.
+
+    Rows are found again by id and hash of the text, so a text is fingerprinted once. Both sides of the join are dealt by these two keys, which the removal of repeated rows uses again.
+    """
     g = grouped(prints_of(docs, id_col, text_col))
-    stay = g.groupBy("component_id").agg(F.min(F.struct("id", "fp")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.fp").alias("__fp"))
-    marked = docs.withColumn("__fp_own", fingerprint()(text_col))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp_own") == F.col("__fp")), "left_semi")
-    return kept.dropDuplicates([id_col, "__fp_own"]).select(*columns)
+    stay = g.groupBy("component_id").agg(F.min(F.struct("id", "fp", "text_hash")).alias("s"))
+    # a null id has a key of its own, so that keys are never null
+    key = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
+    stay = stay.select(key(F.col("s.id")).alias("id_key"), F.col("s.text_hash").alias("text_key")).distinct()
+    rows = nested(docs)
+    rows = rows.withColumns({"id_key": key(field(id_col)), "text_key": F.xxhash64(F.coalesce(field(text_col), F.lit("")))})
+    return rows.join(stay, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]).select("row.*")

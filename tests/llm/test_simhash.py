@@ -93,3 +93,10 @@ def test_components_of_long_paths(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(80)}, 2000: -7, 2001: -7, -7: -7}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "a b c d", 7, "x", 1), (2, "a b c d", 8, "y", 2), (3, "q r s", 9, "z", 3), (3, "q r s", 9, "z", 3), (None, "u v w", 1, "n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __fp string, id_key int")
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
