@@ -79,3 +79,45 @@ def test_repeated_rows_and_empty_tables(spark):
     assert len(got) == 10 and all(r.taken <= 2 * r.size for r in got)
     assert M.mixed_report(docs.limit(0)).count() == 0 and M.mixed_documents(docs.limit(0)).count() == 0
     assert M.mixed_report(docs.where("doc_id = 2")).first().taken == 0
+
+
+def test_columns_that_clash(spark):
+    names = ["b", "c_id", "c_rank", "c_tie", "_target", "_source_size", "size", "rank", "row", "copies", "id", "odds", "a.b"]
+    docs = spark.createDataFrame([(i, "one two " * (i + 1), "s" if i % 2 else None, *(f"{n}{i}" for n in names)) for i in range(8)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    report = M.mixed_report(docs).collect()
+    got = M.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((tuple(r) for r in docs.collect() for _ in range(next(x.copies for x in report if x.doc_id == r.doc_id))), key=str)
+
+
+def plain_probabilities(rows, due):
+    """Probabilities that times sizes sum to due: rows (size, odds) that would pass 1 are certain, one round after the other."""
+    certain = set()
+    while True:
+        left = sum(n * w for i, (n, w) in enumerate(rows) if i not in certain)
+        scale = max(0.0, due - sum(rows[i][0] for i in certain)) / left if left else 0.0
+        more = {i for i, (_, w) in enumerate(rows) if i not in certain and scale * w >= 1}
+        if not more:
+            return [1.0 if i in certain else scale * w for i, (_, w) in enumerate(rows)]
+        certain |= more
+
+
+def test_unequal_probabilities_are_inclusion_probabilities(spark):
+    """Certain documents are always taken, the others as often as their probability says: by class of size and odds, over several seeds."""
+    rows = [(i, "w " * (3 + i % 4), "b", float(1 + i % 5) if i % 40 else 400.0) for i in range(3000)] + [(10_000 + i, "w " * 4, "a", 1.0) for i in range(1800)]
+    docs = M.materialize(spark.createDataFrame(rows, "doc_id long, text string, source string, w double"))
+    taken, chosen = {}, []
+    for seed in range(3):
+        got = M.mixed_report(docs, seed=seed, weight=F.col("w")).where("doc_id < 10000").orderBy("doc_id").collect()
+        due, sure = got[0].target - got[0].target // got[0].source_size * got[0].source_size, int(got[0].target // got[0].source_size)
+        want = plain_probabilities([(r.size, rows[r.doc_id][3]) for r in got], due)
+        assert due > 0 and abs(sum(p * r.size for p, r in zip(want, got)) - due) < 1e-6
+        assert abs(sum(r.taken - sure * r.size for r in got) - due) <= 3  # of fixed size
+        for p, r in zip(want, got):
+            taken.setdefault((p, r.size, rows[r.doc_id][3]), []).append(r.copies - sure)
+        chosen.append({r.doc_id for r in got if r.copies > sure})
+    assert any(p == 1 for p, _, _ in taken)
+    for (p, _, _), x in taken.items():
+        assert abs(sum(x) / len(x) - p) < (1e-9 if p == 1 else 4 * (p * (1 - p) / len(x)) ** 0.5 + 0.02)
+    plain = {r.doc_id for r in M.mixed_report(docs, seed=2).where("doc_id < 10000").collect() if r.copies > sure}
+    assert len(plain - chosen[2]) > 50  # not the order of u
