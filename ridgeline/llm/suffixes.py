@@ -12,7 +12,8 @@
 So no group of copies meets as pairs or whole texts: a hot passage is a few texts in its slices, with 12 bytes for each place.
 
 Defined results: null and empty texts have no bytes; texts shorter than LEAST lose none; rows of one id never remove each other's bytes, and repeated
-rows get equal results; a null id counts as the largest. As a string, what is left of a text drops the remains of characters that were cut apart.
+rows get equal results; a null id counts as the largest; ties can't arise: equal ids are one; an empty table gives an empty result; columns of any name pass through; a text of any length
+is searched whole, and one longer than ``SLICE_BYTES`` needs some 60 times its size in its worker while it is. As a string, what is left of a text drops the remains of characters that were cut apart.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sketch_parts, slices
+from .common import broadcast, field, quoted, slice_count, slices, tidied
 from .scoring import document_slice, mix, slice_of
 
 LEAST, GRAM = 50, 16
@@ -178,7 +179,7 @@ def repeated_names(docs: DataFrame, text_col: str, parts: int) -> list[bytes]:
             out[at] = 1
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(out).tobytes() if len(both) else b""], pa.binary())})
 
-    found = docs.select(text_col).mapInArrow(run, "slice int, once binary, more binary").groupBy("slice").applyInArrow(reduce_, "slice int, bits binary")
+    found = docs.select(text_col).mapInArrow(tidied(run), "slice int, once binary, more binary").groupBy("slice").applyInArrow(reduce_, "slice int, bits binary")
     by = {r["slice"]: bytes(r["bits"]) for r in found.toLocalIterator()}
     return [by.get(p, b"") for p in range(parts)]
 
@@ -215,11 +216,30 @@ def gather(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return raw[at]
 
 
+#: Bytes of texts compared at a time.
+COMPARE_BYTES = 1 << 20
+
+
+def differing(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, twins: np.ndarray) -> np.ndarray:
+    """Which texts (stretches of raw) differ from their twin, another of them: equal hashes are held against bytes."""
+    out = lengths != lengths[twins]
+    some = np.flatnonzero((twins != np.arange(len(twins))) & ~out & (lengths > 0))
+    ends = np.cumsum(lengths[some])
+    first = 0
+    while first < len(some):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + COMPARE_BYTES, side="right")))
+        own = some[first:last]
+        unequal = gather(raw, starts[own], lengths[own]) != gather(raw, starts[twins[own]], lengths[own])
+        out[own] = np.logical_or.reduceat(unequal, np.cumsum(lengths[own]) - lengths[own])
+        first = last
+    return out
+
+
 def candidate_runs(docs: DataFrame, filter_segments: list[bytes], parts: int) -> DataFrame:
     """Runs whose name is in the filter, by slice. docs: id (long), h (long), text."""
     import pyarrow as pa
 
-    held_filter = docs.sparkSession.sparkContext.broadcast(NameFilter(filter_segments))
+    held_filter = broadcast(docs.sparkSession, NameFilter(filter_segments))
     powers = {}
 
     def prefix_sums(raw: np.ndarray) -> np.ndarray:
@@ -247,8 +267,12 @@ def candidate_runs(docs: DataFrame, filter_segments: list[bytes], parts: int) ->
             if not len(mine):
                 continue
             h = hashes[mine]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            nth = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
+            new = np.append(True, h[1:] != h[:-1])
+            group = np.cumsum(new) - 1
+            odd = differing(raw, start[mine], count[mine] + LEAST - 1, np.flatnonzero(new)[group])
+            if odd.any():  # texts of one hash that aren't equal: none of them is merged
+                new |= np.isin(group, group[odd])
+            first, nth = np.flatnonzero(new), np.cumsum(new) - 1
             lead = mine[first]
             used, which = np.unique(doc[mine], return_inverse=True)
             texts = gather(raw, start[lead], count[lead] + LEAST - 1)
@@ -289,7 +313,7 @@ def candidate_runs(docs: DataFrame, filter_segments: list[bytes], parts: int) ->
         if held:
             yield from pack(held, rows)
 
-    return docs.select("id", "h", "text").mapInArrow(run, "slice int, texts binary, subs binary, counts binary, hashes binary, docs binary, nth binary, which binary, offsets binary")
+    return docs.select("id", "h", "text").mapInArrow(tidied(run), "slice int, texts binary, subs binary, counts binary, hashes binary, docs binary, nth binary, which binary, offsets binary")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -396,11 +420,17 @@ def removed_in_slice(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         offsets.append(one[6].astype(np.int64))
         n_texts, n_docs = n_texts + len(one[1]), n_docs + len(one[3]) // 2
     texts, subs, counts, hashes, docs, nth, which, offsets = map(np.concatenate, (texts, subs, counts, hashes, docs, nth, which, offsets))
-    distinct, lead, same = np.unique(hashes, return_index=True, return_inverse=True)
+    _, lead, same = np.unique(hashes, return_index=True, return_inverse=True)
+    begins, lengths = np.cumsum(counts + LEAST - 1) - (counts + LEAST - 1), counts + LEAST - 1
+    odd = differing(texts, begins, lengths, lead[same])
+    if odd.any():  # texts of one hash that aren't equal stay apart
+        apart = np.isin(same, same[odd])
+        same = np.where(apart, len(lead) + np.arange(len(same)), same)
+        _, lead, same = np.unique(same, return_index=True, return_inverse=True)
     occurs, doc = same[nth], docs[which, 0]
-    least_doc = np.full(len(distinct), np.iinfo(np.int64).max)
+    least_doc = np.full(len(lead), np.iinfo(np.int64).max)
     np.minimum.at(least_doc, occurs, doc)
-    begin = (np.cumsum(counts + LEAST - 1) - (counts + LEAST - 1))[lead]
+    begin = begins[lead]
     counts, subs = counts[lead], subs[lead]
     windows = np.cumsum(counts) - counts
     lowest = np.empty(int(counts.sum()), dtype=np.int64)
@@ -489,18 +519,17 @@ def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """docs with __kept (the text left, as string), __n_bytes, __n_removed, __n_spans and __kept_sha256 (of the bytes left); with ``report`` without text_col and __kept. The id is an integer."""
+def kept_rows(docs: DataFrame, id_col: str, text_col: str, carried: list[str], report: bool) -> DataFrame:
+    """row (a struct of the carried columns of docs), n_bytes, n_removed, n_spans, kept_sha256 and, unless ``report``, kept, the text left."""
     import pyarrow as pa
 
-    parts = sketch_parts(docs.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = spans(docs.select(key.alias("id"), text_hash.alias("h"), F.col(text_col).alias("text")), parts)
-    kept_columns = [f for f in docs.schema.fields if not report or f.name != text_col]
-    new = [T.StructField("__n_bytes", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__n_spans", T.LongType()), T.StructField("__kept_sha256", T.StringType())]
-    new += [] if report else [T.StructField("__kept", T.StringType())]
-    schema = T.StructType([*kept_columns, *new])
+    parts = slice_count(docs, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*map(quoted, carried)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    found = spans(rows.select("id", "h", "text"), parts)
+    new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    new += [] if report else [T.StructField("kept", T.StringType())]
+    schema = T.StructType([rows.schema["row"], *new])
 
     from pyspark.sql.functions import arrow_udf
 
@@ -508,37 +537,42 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.array(document_slice(i.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False), parts), type=pa.int32())
 
     one.__annotations__ = {"i": pa.Array, "h": pa.Array, "return": pa.Array}
-    marked = docs.withColumn("__id", key).withColumn("__h", text_hash)
-    marked = marked.withColumn("__slice", arrow_udf("int")(one)("__id", "__h"))
+    marked = rows.withColumn("slice", arrow_udf("int")(one)("id", "h"))
 
     def apply(left, right):
         runs = merged_spans(right)
-        rows = []
-        for i, h, t in zip(left.column("__id").to_pylist(), left.column("__h").to_pylist(), left.column(text_col)):
-            raw = (t.as_py() or "").encode("utf-8")
+        out = []
+        for i, h, t in zip(left.column("id").to_pylist(), left.column("h").to_pylist(), left.column("text")):
+            raw = t.as_py().encode("utf-8")
             own = runs.get((i, h), [])
             rest = cut(raw, own) if own else raw
             row = len(raw), len(raw) - len(rest), len(own), hashlib.sha256(rest).hexdigest()
-            rows.append(row if report else (*row, rest.decode("utf-8", "ignore")))
-        columns = list(zip(*rows)) or [()] * len(new)
+            out.append(row if report else (*row, rest.decode("utf-8", "ignore")))
+        columns = list(zip(*out)) or [()] * len(new)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table([*(left.column(f.name) for f in kept_columns), *(pa.array(c, type=k) for c, k in zip(columns, kinds))], names=[f.name for f in schema.fields])
+        return pa.table([left.column("row"), *(pa.array(c, type=k) for c, k in zip(columns, kinds))], names=["row", *(f.name for f in new)])
+
+    return marked.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(apply, schema)
+
 
-    return marked.groupBy("__slice").cogroup(found.withColumnRenamed("slice", "__slice").groupBy("__slice")).applyInArrow(apply, schema)
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs, then __kept (the text left, as string), __n_bytes, __n_removed, __n_spans and __kept_sha256 (of the bytes left). The id is an integer."""
+    d = kept_rows(docs, id_col, text_col, docs.columns, False)
+    return d.select("row.*", *(F.col(c).alias(f"__{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    d = deduplicated(docs.select("doc_id", "text"), report=True)
-    return d.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.col("__kept_sha256").alias("kept_sha256"))
+    return kept_rows(docs, "doc_id", "text", ["doc_id"], True).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs with what is left of their texts, and n_chars to match."""
-    columns = docs.columns
-    out = deduplicated(docs).withColumn("text", F.col("__kept"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    # all columns but the text travel as they are; the text comes back as kept
+    d = kept_rows(docs, "doc_id", "text", [c for c in docs.columns if c != "text"], False)
+    own = {"text": F.col("kept").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return d.select(*(own.get(c, field(f"{c}")).alias(c) for c in docs.columns))
 
 
 def suffix_sql() -> str:
