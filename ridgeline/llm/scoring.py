@@ -1,9 +1,10 @@
 """Language-model scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast and probed.
 
-Words and word pairs of the training documents are counted exactly, by 64-bit hashes. A count c is quantised to level 1 + floor(log2 c); the filter
-holds (n-gram, 1) ... (n-gram, level), so probing level after level until one is missing gives the count back, never too low. Segments of the filter are built
-where the counts are summed: hash slices own their segments. The model's probability of a word w after v is (min(c(v w), c(v)) + MU * p(w)) / (c(v) + MU) with
-p(w) = (c(w) + 1) / (N + V + 1), all counts from probes but those of the ``COMMON`` most frequent words, which a small table holds exactly.
+Words and word pairs of the training documents are counted exactly, by 64-bit hashes. A pair's count c is quantised to level 1 + floor(log2 c), a word's by finer steps
+(``WORD_STEPS``: every count up to 10, then by a tenth); the filter holds (n-gram, 1) ... (n-gram, level), so probing level after level until one is missing
+gives the count back, never too low. Segments of the filter are built where the counts are summed: hash slices own their segments. The model's probability
+of a word w after v is (min(c(v w), c(v)) + MU * p(w)) / (c(v) + MU) with p(w) = (c(w) + 1) / (N + V + 1), all counts from probes. The ``COMMON`` most
+frequent words are probed once, before all texts, and workers keep their levels; all others are probed where they occur.
 
 Sizes: the filter takes ``BITS_EACH`` bits an entry and holds every word and pair of the training documents at any size. Segments of pairs are gathered and broadcast
 while they take at most ``PAIR_BITS`` bits in all; beyond, they stay in their slices, and the documents' pairs go to them by an exchange, but for the most frequent
@@ -13,7 +14,9 @@ The base score needs exact counts of all words: words outside the common table a
 count table, slice by slice, and only sums by document come back, packed by slice of the document.
 
 Defined results: null and empty texts have one token, the end; the first word follows the end token; without training documents
-N and V are 0; repeated rows get equal results, a row each; ids that repeat with other texts are rows of their own; null ids count as the text "" for the split.
+N and V are 0; repeated rows get equal results, a row each; ids that repeat with other texts are rows of their own; null ids count as the text "" for the split; ties can't arise;
+an empty table gives an empty result; a text of any length is scored whole, and one longer than ``SLICE_BYTES`` needs some 60 times its size in its worker while it is; a column of any name
+beside the two that are read does no harm.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sketch_parts, slices
+from .common import broadcast, materialize, slice_count, slices, tidied
 
 MU = 500.0
 COMMON = 1 << 17
@@ -136,7 +139,7 @@ def count_ngrams(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
                     n = 0
         yield from _pack(held, parts)
 
-    return docs.select(text_col).mapInArrow(run, "kind int, slice int, keys binary, n binary")
+    return docs.select(text_col).mapInArrow(tidied(run), "kind int, slice int, keys binary, n binary")
 
 
 def _keys(raw: bytes, kind: int) -> np.ndarray:
@@ -165,6 +168,25 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 COUNTS = np.array([0.0, 1.0] + [float(np.sqrt(2.0 ** (k - 1) * (2.0**k - 1))) for k in range(2, LEVELS + 1)])
 
 
+def word_steps(most: int = 1 << 44) -> np.ndarray:
+    """The counts at which a word's level rises: each up to 10, then a tenth more each time."""
+    steps = [1]
+    while steps[-1] < most:
+        steps.append(max(steps[-1] + 1, steps[-1] * 11 // 10))
+    return np.array(steps, dtype=np.int64)
+
+
+WORD_STEPS = word_steps()
+
+
+def word_level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(WORD_STEPS, counts, side="right").astype(np.int64)
+
+
+#: The count that a word's level stands for: the mean logarithm of the first and last count that it has.
+WORD_COUNTS = np.concatenate([[0.0], np.sqrt(WORD_STEPS[:-1].astype(np.float64) * (WORD_STEPS[1:] - 1)), [float(WORD_STEPS[-1])]])
+
+
 def positions(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
     """The bits that stand for (n-gram, level) in segments of so many bits; keys are the low 40 bits of hashes."""
     h = mix(keys, 100 + level)
@@ -176,17 +198,19 @@ def positions(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[
             h = h + step
 
 
-def build_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
+def build_segment(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None, quantised=level_of) -> tuple[bytes, int]:
     """A slice's segment, and the least count in it: 1 unless ``most_bits`` bounds the segment, which scoring never asks for."""
-    levels = level_of(counts)
+    levels = quantised(counts)
     floor, room = 1, max(64, most_bits // BITS_EACH) if most_bits else np.inf
     while levels[counts >= floor].sum() > room:
         floor *= 2
     keys, levels = keys[counts >= floor] & np.uint64((1 << KEY_BITS) - 1), levels[counts >= floor]
     bits = max(64, -(-int(levels.sum()) * BITS_EACH // 8) * 8)
     out = np.zeros(bits, dtype=np.uint8)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in positions(keys[levels >= level], level, bits):
+    order = np.argsort(-levels, kind="stable")
+    keys, upto = keys[order], np.cumsum(np.bincount(levels, minlength=1)[::-1])[::-1]  # upto[k]: keys of level k or more
+    for level in range(1, len(upto)):
+        for at in positions(keys[: upto[level]], level, bits):
             out[at] = 1
     return np.packbits(out).tobytes(), floor
 
@@ -200,12 +224,12 @@ class Filter:
         self.raw = np.frombuffer(b"".join(segments), dtype=np.uint8)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, by probes of one level after the other."""
+        """The level of each n-gram, by probes of one level after the other; ``LEVELS`` bounds those of pairs, the steps those of words."""
         out = np.zeros(len(hashes), dtype=np.int64)
         own = slice_of(hashes, len(self.sizes))
         keys = hashes & np.uint64((1 << KEY_BITS) - 1)
         open_ = np.flatnonzero(self.sizes[own] > 0)
-        for level in range(1, LEVELS + 1):
+        for level in range(1, len(WORD_STEPS) + 1):
             for_now = keys[open_], self.sizes[own[open_]], self.starts[own[open_]]
             there = np.ones(len(open_), dtype=bool)
             for at in positions(for_now[0], level, for_now[1]):
@@ -231,31 +255,32 @@ class Model:
         self.total, self.distinct = total, distinct
         self.norm = float(total + distinct + 1)
         self.top, self.top_levels, self.parts = top, top_levels, parts
-        #: All counts that a word can have here, by level for words outside the common table.
-        self.values = np.concatenate([COUNTS, np.unique(common_counts)[::-1].astype(np.float64)])
+        #: The common words' levels, by probes like any other's.
+        self.common_levels = words.levels(common).astype(np.int32)
 
     def common_of(self, hashes: np.ndarray) -> np.ndarray:
-        """Exact counts of common words, -1 of others."""
+        """Where common words are in the table, -1 for others."""
         if not len(self.common):
             return np.full(len(hashes), -1, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
-        return np.where(self.common[at] == hashes, self.common_counts[at], -1)
-
-    def codes(self, hashes: np.ndarray, exact: np.ndarray) -> np.ndarray:
-        """Where each word's count is in ``values``; exact: common_of(hashes)."""
-        out = len(self.values) - 1 - np.searchsorted(self.values[len(COUNTS) :][::-1], exact)
-        rare = np.flatnonzero(exact < 0)
-        out[rare] = self.words.levels(hashes[rare])
+        return np.where(self.common[at] == hashes, at, -1)
+
+    def codes(self, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Each word's level; place: common_of(hashes)."""
+        out = self.common_levels[place].astype(np.int64) if len(self.common) else np.zeros(len(hashes), dtype=np.int64)
+        rare = np.flatnonzero(place < 0)
+        distinct, back = np.unique(hashes[rare], return_inverse=True)
+        out[rare] = self.words.levels(distinct)[back]
         return out
 
     def terms(self, levels: np.ndarray, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each token from its pair's level and the codes of both words."""
-        history, c = self.values[history], self.values[word]
+        """log10 probability of each token from its pair's level and those of both words."""
+        history, c = WORD_COUNTS[history], WORD_COUNTS[word]
         return np.log10((np.minimum(COUNTS[levels], history) + MU * (c + 1) / self.norm) / (history + MU))
 
-    def read(self, hashes: np.ndarray, counts: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's code, its predecessor's, the hash of both, and the pair's level, -1 where only its slice knows it."""
-        word = self.codes(hashes, exact)
+    def read(self, hashes: np.ndarray, counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's level, its predecessor's, the hash of both, and the pair's level, -1 where only its slice knows it."""
+        word = self.codes(hashes, place)
         _, both = pairs(hashes, counts)
         starts = np.cumsum(counts) - counts
         history = np.concatenate([[0], word[:-1]]).astype(np.int64)
@@ -271,9 +296,9 @@ class Model:
             level = np.where(self.top[at] == own, self.top_levels[at], -1)
         return word, history, both, level
 
-    def scores(self, hashes: np.ndarray, counts: np.ndarray, exact: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, without the tokens whose pairs only their slices know; exact: common_of(hashes)."""
-        word, history, _, level = self.read(hashes, counts, exact)
+    def scores(self, hashes: np.ndarray, counts: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, without the tokens whose pairs only their slices know; place: common_of(hashes)."""
+        word, history, _, level = self.read(hashes, counts, place)
         p = np.where(level >= 0, self.terms(np.maximum(level, 0), history, word), 0.0)
         return np.add.reduceat(p, np.cumsum(counts) - counts) if len(counts) else np.zeros(0)
 
@@ -293,14 +318,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, Data
     import pyarrow as pa
 
     spark = docs.sparkSession
-    parts = sketch_parts(spark)
+    parts = slice_count(docs, text_col)
     partial = count_ngrams(docs, text_col, parts)
     most = COMMON // parts + 1
 
     def reduce_(key, table):
         kind, p = key[0].as_py(), key[1].as_py()
         keys, n = _summed(table, kind)
-        segment, _ = build_segment(keys, n)
+        segment, _ = build_segment(keys, n, quantised=word_level_of if kind == 1 else level_of)
         # counts of counts, by power of two: they tell where the common words begin
         histogram = np.bincount(level_of(n), weights=n > 0, minlength=LEVELS + 1).astype(np.int64) if len(n) else np.zeros(LEVELS + 1, dtype=np.int64)
         if kind == 2 and len(n):  # of pairs only the most frequent, with the levels that the segment gives
@@ -425,7 +450,7 @@ def pair_sums(doc: DataFrame, held, segments: DataFrame, parts: int) -> DataFram
             adds.append(np.bincount(at, weights=m.terms(probe(segment, keys), history, word), minlength=len(ids[-1])))
         return by_document(np.concatenate(ids), parts, score=np.concatenate(adds))
 
-    asks = doc.select("text", "i", "h").mapInArrow(ask, "slice int, docs binary, at binary, keys binary, history binary, word binary")
+    asks = doc.select("text", "i", "h").mapInArrow(tidied(ask), "slice int, docs binary, at binary, keys binary, history binary, word binary")
     return asks.groupBy("slice").cogroup(segments.groupBy("slice")).applyInArrow(answer, SUMS)
 
 
@@ -436,7 +461,7 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
 
     spark = docs.sparkSession
     model, words, segments, parts = fit(training, text_col)
-    held = spark.sparkContext.broadcast(model)
+    held = broadcast(spark, model)
     unknown = float(-np.log10(model.norm))
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     doc = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.coalesce(F.xxhash64(F.col(id_col).cast("string")), F.lit(0).cast("long")).alias("i"))
@@ -461,6 +486,7 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches):
         m = held.value
+        logs = np.append(np.log10(m.common_counts + 1.0), 0.0)  # of the exact counts, for the base score
         asked, keys, n_docs, n_words, empty = [], [], 0, 0, []
         for batch in batches:
             first = 0
@@ -470,11 +496,11 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
                 first += k
                 empty = [pa.nulls(1, ids.type), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 hashes, counts = tokens(part)
-                exact = m.common_of(hashes)
+                place = m.common_of(hashes)
                 starts = np.cumsum(counts) - counts
-                known = exact >= 0
-                base = np.add.reduceat(np.where(known, np.log10(np.maximum(exact, 0) + 1.0), 0.0), starts)
-                score = m.scores(hashes, counts, exact)
+                known = place >= 0
+                base = np.add.reduceat(np.where(known, logs[place], 0.0), starts)
+                score = m.scores(hashes, counts, place)
                 none = pa.nulls(k, pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, i, h, pa.array(counts), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(score), pa.nulls(k, pa.int32()), none, none, none, none], names=names)
                 # the other words: distinct (word, document) with counts
@@ -493,7 +519,7 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
             yield from pack(asked, keys, empty)
 
     schema = f"id {id_type}, i long, h long, n_tokens long, n_known long, base double, score double, slice int, docs binary, at binary, keys binary, n binary"
-    passed = materialize(doc.select("id", "text", "i", "h").mapInArrow(run, schema))
+    passed = materialize(doc.select("id", "text", "i", "h").mapInArrow(tidied(run), schema))
     asked = passed.where("slice is not null").select("slice", "docs", "at", "keys", "n")
 
     def look_up(key, rows, table):
