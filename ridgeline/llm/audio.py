@@ -5,7 +5,8 @@ header, so the blocks of a batch of files form the rows of one array, and the lo
 block, never over blocks. Resampling is a windowed-sinc filter bank (polyphase), applied by numpy.
 
 Defined results: a null payload is an empty one; payloads are padded with zero bytes to a positive multiple of 64 by ``pad``; a file
-that isn't a known WAVE raises ValueError; ``read`` returns the data chunk bit for bit.
+that isn't a known WAVE raises ValueError; ``read`` returns the data chunk bit for bit; a file longer than ``BATCH_BYTES`` (a very long text) is decoded as a whole by itself; equal
+texts and repeated rows get equal results, a row each; an empty table gives an empty result; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from collections.abc import Iterator
 from math import gcd
 
 import numpy as np
+from pyspark.sql import functions as F
+
+from .common import arrow_function, field, nested, slices, struct_rows
 
 MULAW, ALAW, IMA = 7, 6, 0x11
 NAMES = {MULAW: "mulaw", ALAW: "alaw", IMA: "ima"}
@@ -194,40 +198,30 @@ def feature(codec: int, rate: int, samples: np.ndarray, to: int) -> tuple[str, b
 
 
 def stored(docs, text_col: str = "text", to: int = 16000, keep: bool = False):
-    """docs with __media: a struct of the stored file's digests and features (and, if ``keep``, the file and its resampled PCM)."""
+    """The columns of docs, then __media: a struct of the stored file's digests and features, its resampled PCM (16-bit samples, little-endian) and, if ``keep``, the file."""
     import pyarrow as pa
-    from pyspark.sql.functions import arrow_udf
 
-    fields = [("n_bytes", "bigint", pa.int64()), ("payload_bytes", "bigint", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "bigint", pa.int64()), ("media_bytes", "bigint", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string())]
-    fields += [("media", "binary", pa.binary()), ("pcm", "binary", pa.binary())] if keep else []
+    fields = [("n_bytes", "bigint", pa.int64()), ("payload_bytes", "bigint", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "bigint", pa.int64()), ("media_bytes", "bigint", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()), ("pcm", "binary", pa.binary())]
+    fields += [("media", "binary", pa.binary())] if keep else []
 
-    def chunk(texts: list[bytes]) -> list[tuple]:
+    def chunk(texts: list[bytes]) -> pa.StructArray:
         files = [wave(p := pad(t), codec_of(p)) for t in texts]
         rows = []
         for t, f, (codec, rate, data, samples) in zip(texts, files, decode_many(files)):
             line, pcm = feature(codec, rate, samples, to)
-            row = len(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(f), hashlib.sha256(f).hexdigest(), line
-            rows.append((*row, f, pcm) if keep else row)
-        return rows
+            row = len(t), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(f), hashlib.sha256(f).hexdigest(), line, pcm
+            rows.append((*row, f) if keep else row)
+        return struct_rows(list(zip(*rows)) or [()] * len(fields), [(n, k) for n, _, k in fields])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows, held, n = [], [], 0
-            for t in batch:
-                held.append(t.as_py().encode("utf-8") if t.is_valid else b"")
-                n += len(held[-1])
-                if n >= BATCH_BYTES:
-                    rows += chunk(held)
-                    held, n = [], 0
-            rows += chunk(held)
-            columns = list(zip(*rows)) or [()] * len(fields)
-            yield pa.StructArray.from_arrays([pa.array(c, type=k) for c, (_, _, k) in zip(columns, fields)], names=[f[0] for f in fields])
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = arrow_udf("struct<" + ",".join(f"{n}:{k}" for n, k, _ in fields) + ">")(run).asNondeterministic()
-    return docs.withColumn("__media", udf(text_col))
+        for batch in batches:  # results leave in smaller batches than texts come: PCM takes several times a text's room
+            for part in slices(batch, BATCH_BYTES):
+                yield chunk([t.encode("utf-8") for t in part.to_pylist()])
+
+    media = arrow_function(run, "struct<" + ",".join(f"{n}:{k}" for n, k, _ in fields) + ">")
+    return nested(docs).withColumn("media", media(field(text_col))).select("row.*", F.col("media").alias("__media"))
 
 
 def media_report(docs):
-    """doc_id and the digests of each document's stored form."""
+    """doc_id, the digests of each document's stored form, and its PCM at 16 kHz."""
     return stored(docs.select("doc_id", "text")).select("doc_id", "__media.*")
