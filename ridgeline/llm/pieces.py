@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding: exact merge-type encoding by backtracking.
 
-The model file is read by its wire format. A text is escaped (a leading space, spaces become U+2581) and cut before
-each run of U+2581 that follows another character: as no piece holds U+2581 after another character (checked on
-loading), no piece crosses such a cut. Parts are cut further between characters that are neighbours in no piece, as nothing merges across. Each part is encoded by backtracking: at every position the longest piece
+The model file is read by its wire format. A text is escaped (a leading space, spaces become U+2581) and cut between characters that are neighbours in no
+piece, as nothing merges across; that is before each word start, too, since no piece holds U+2581 after another character (checked on
+loading). Each part is encoded by backtracking: at every position the longest piece
 (found by an Aho-Corasick automaton over the vocabulary) is tried first; a piece may follow the one before it only if merging their joined text anew gives
 exactly these two; a position from which no sequence led to the end is marked in a bitfield and never tried again.
 A sequence whose adjacent pieces are all compatible is the one that merging by score gives. Characters outside the
@@ -10,7 +10,8 @@ vocabulary become byte pieces. Where pieces tie in score (runs of U+2581), a pai
 merge meets tied scores is merged directly.
 
 Defined results: null and empty texts give the end id only; decoding drops control ids, turns U+2581 into spaces, joins byte
-pieces into UTF-8 (each invalid byte becomes U+FFFD) and drops the one leading space that encoding added.
+pieces into UTF-8 (each invalid byte becomes U+FFFD) and drops the one leading space that encoding added; a very long text is encoded part by part; repeated
+rows get equal results, a row each; an empty table gives an empty result; a column of any name beside the two that are read does no harm.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import functions as F
 
 from .common import arrow_function, keeps_cache
 
 SPACE = "▁"
-#: Parts kept for reuse by a worker, some 40 MB at most; a full cache starts anew, and other operators' tasks empty it.
-CACHE_PARTS = 120_000
+#: Parts kept for reuse by a worker, some 60 MB at most; a full cache starts anew, and other operators' tasks empty it.
+CACHE_PARTS = 250_000
 #: Parts up to this long are kept.
 CACHE_CHARS = 64
 
@@ -113,8 +115,8 @@ class PieceModel:
         self.shown = ["" if k == self.CONTROL else " ⁇ " if k == self.UNKNOWN else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds)]
         self.byte_ids = frozenset(self.bytes.values())
         self.letters = frozenset(p for p in self.ids if len(p) == 1)
-        #: Neighbouring characters inside any piece. Between two others nothing ever merges.
-        self.inside = {a + b for p in self.ids for a, b in zip(p, p[1:])}
+        #: Neighbouring characters inside any piece, as sorted pairs of code points, the last one beyond all. Between two others nothing ever merges.
+        self.neighbours = np.array([*sorted({ord(a) << 32 | ord(b) for p in self.ids for a, b in zip(p, p[1:])}), 2**64 - 1], dtype=np.uint64)
         self.automaton = ahocorasick.Automaton()
         # A piece that merging can't reach is no candidate.
         reachable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
@@ -127,7 +129,8 @@ class PieceModel:
             self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reachable), -1)
         self.lengths = list(map(len, self.pieces))
         self._pairs: dict[int, bool] = {}
-        self._cache: dict[str, tuple[int, str, str]] = {}
+        #: A part's ids as decimal digits; with the decoded text where that isn't the part with spaces shown.
+        self._cache: dict[str, str | tuple[str, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merges adjacent symbols, the best score first and the leftmost of equals, until none joins into a piece."""
@@ -200,16 +203,6 @@ class PieceModel:
             at -= size[last]
             before, i = out[-1] if out else -1, shorter[last]
 
-    def _cuts(self, text: str) -> list[str]:
-        """The text cut wherever no piece holds both neighbours."""
-        inside, out, first = self.inside, [], 0
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in inside:
-                out.append(text[first:k])
-                first = k
-        out.append(text[first:])
-        return out
-
     def _part(self, text: str) -> list[int]:
         """Ids of a text without inner cuts."""
         if not self.letters.issuperset(text):  # a character outside the vocabulary stands alone
@@ -218,17 +211,13 @@ class PieceModel:
             return [self.ids[p] for p in self.merge(text)]
         return self.backtrack(text)
 
-    def _entry(self, part: str) -> tuple[int, str, str]:
-        """A part's number of ids, their digits, and its decoded text with all of its spaces. Byte pieces never run on into the next part."""
+    def _entry(self, part: str) -> str | tuple[str, str]:
+        """A part's ids as digits, joined by spaces, and where decoding them gives something else than the part with spaces shown, that too. Byte pieces never run on into the next part."""
         got = self._cache.get(part)
         if got is None:
-            cuts = self._cuts(part)
-            if len(cuts) > 1:
-                found = [self._entry(c) for c in cuts]
-                got = sum([e[0] for e in found]), " ".join([e[1] for e in found]), "".join([e[2] for e in found])
-            else:
-                ids = self._part(part)
-                got = len(ids), " ".join([self.digits[i] for i in ids]), self._decode(ids)
+            ids = self._part(part)
+            digits, back = " ".join([self.digits[i] for i in ids]), self._decode(ids)
+            got = digits if back == part.replace(SPACE, " ") else (digits, back)
             if len(part) <= CACHE_CHARS:
                 if len(self._cache) >= CACHE_PARTS:
                     self._cache.clear()
@@ -236,31 +225,31 @@ class PieceModel:
         return got
 
     def parts(self, text: str) -> list[str]:
-        """The escaped text, cut before each word start."""
-        words = text.replace(SPACE, " ").split(" ")
-        if self.prefix and "" not in words:
-            return [SPACE + w for w in words]
-        if words == [""]:
+        """The escaped text, cut wherever no piece holds both neighbours; so before each word start, too."""
+        if not text:
             return []
-        out: list[str] = []
-        held = 1 if self.prefix else 0  # spaces before the next word
-        for k, w in enumerate(words):
-            if k:
-                held += 1
-            if w:
-                out.append(SPACE * held + w)
-                held = 0
-        if held:
-            out.append(SPACE * held)
-        return out
-
-    def entries(self, text: str) -> list[tuple[int, str, str]]:
+        text = SPACE * self.prefix + text.replace(" ", SPACE)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        both = points[:-1] << np.uint64(32) | points[1:]
+        at = np.searchsorted(self.neighbours, both)
+        cuts = (np.flatnonzero(self.neighbours[at] != both) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+    def whole(self, text: str) -> tuple[str, str]:
+        """The ids of a text as digits, without an end id, and the text that decoding them gives."""
+        parts = self.parts(text)
         get, make = self._cache.get, self._entry
-        return [get(p) or make(p) for p in self.parts(text)]
+        found = [get(p) or make(p) for p in parts]
+        if tuple in set(map(type, found)):
+            plain = [(e, p.replace(SPACE, " ")) if isinstance(e, str) else e for e, p in zip(found, parts)]
+            digits, back = " ".join([e[0] for e in plain]), "".join([e[1] for e in plain])
+        else:
+            digits, back = " ".join(found), "".join(parts).replace(SPACE, " ")
+        return digits, back[1:] if self.prefix and back.startswith(" ") else back
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, without an end id."""
-        return [int(i) for e in self.entries(text or "") for i in e[1].split(" ")]
+        return list(map(int, self.whole(text or "")[0].split()))
 
     def decode(self, ids: list[int]) -> str:
         back = self._decode(ids)
@@ -332,12 +321,9 @@ def encoder(path: str, keep: bool = False):
     kind = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>" * keep + ">"
 
     def one(m: PieceModel, text: str | None) -> tuple:
-        found = m.entries(text or "")
-        back = "".join([e[2] for e in found])
-        if m.prefix and back.startswith(" "):
-            back = back[1:]
-        digits = " ".join([e[1] for e in found] + [str(m.end)])
-        row = sum([e[0] for e in found]) + 1, hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
+        digits, back = m.whole(text or "")
+        digits = f"{digits} {m.end}" if digits else str(m.end)
+        row = digits.count(" ") + 1, hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8")).hexdigest()
         return (*row, list(map(int, digits.split(" ")))) if keep else row
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
