@@ -1,3 +1,5 @@
+import time
+
 from ridgeline.llm import pages as P
 
 
@@ -51,3 +53,40 @@ def test_table(spark):
     got = sorted((r.page_id, r.url, r.text, r.n_chars) for r in P.page_report(pages).collect())
     assert got == [(1, "u", "x y", 3), (1, "u", "x y", 3), (2, None, "", 0), (3, "v", "", 0)]
     assert P.page_report(pages.limit(0)).count() == 0
+
+
+def test_tree_splits_by_links_first_and_holds_elsewhere():
+    assert P.tree()[0] in (0, 1)  # words or link density
+    rows, labels = P.held_out()
+    assert len(rows) >= 60 and not set(rows) & set(P.examples()[0])
+    assert sum(P.decide(P.tree(), r) == y for r, y in zip(rows, labels)) >= 0.95 * len(rows)
+
+
+def test_words_and_links_decide_where_elements_say_nothing():
+    long = "This paragraph has words enough to be one of the texts of its page, and none of them is a link to another page."
+    links = "".join(f'<div><a href="/{k}">Topic number {k}</a></div>' for k in range(6))
+    got = P.main_text(page(f"<div>{links}</div><div>{long}</div><div>Page 3 of 7</div><div>{long}</div>{links}"))
+    assert got == f"{long}\n\n{long}"
+
+
+def test_nothing_else_is_dropped():
+    text = P.main_text(page("""<article><h1>T t</h1><p>Let <math><mi>x</mi></math> be.</p><p class="warning">Mind the gap.</p><p id="toc">Contents</p>
+      <p>A <svg width="1"><text>drawn word</text></svg> and <video src="v">no video here</video>, <object>nor an object</object>.</p><li class="tags">One tag</li><pre class="legal">two  three</pre></article>"""))
+    assert text == "T t\n\nLet x be.\n\nMind the gap.\n\nContents\n\nA drawn word and no video here, nor an object.\n\nOne tag\n\ntwo three"
+
+
+def test_deep_pages_take_time_by_their_length():
+    def seconds(n, tail):
+        began = time.perf_counter()
+        assert P.main_text("<article>" + "<div>" * n + "<p>x" + tail * n) == "x"
+        return time.perf_counter() - began
+
+    for tail in ("</section>", "</div>", "<b hidden>"):
+        assert seconds(100_000, tail) < 4
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "u", page("<article><p>x y</p></article>"), "t", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, __text string, main int")
+    (r,) = P.extracted(pages).select("main", "html", "url").collect()
+    assert tuple(r) == (7, rows[0][2], "u")
