@@ -25,6 +25,11 @@ class MultiSource:
         return (day > F.lit(self.start)) & (day < F.lit(self.end))
 
 
+def several(shipped: DataFrame) -> DataFrame:
+    """The orders that ship from two warehouses or more: their least and largest warehouses differ."""
+    return shipped.groupBy("order").agg(F.min("warehouse").alias("_lo"), F.max("warehouse").alias("_hi")).where("_lo != _hi").select("order")
+
+
 def from_several(sales: DataFrame, form: str = "exists") -> DataFrame:
     """Sales rows (order, warehouse) whose order also comes from another warehouse.
 
@@ -32,7 +37,7 @@ def from_several(sales: DataFrame, form: str = "exists") -> DataFrame:
     which one aggregation by order tells and no row meets all others of its order.
     nunique: all rows of orders with two warehouses or more stay, those of unknown warehouse too.
     """
-    many = sales.groupBy("order").agg(F.min("warehouse").alias("_lo"), F.max("warehouse").alias("_hi")).where("_lo != _hi").select("order")
+    many = several(sales)
     rows = sales.where("warehouse is not null") if form == "exists" else sales
     return rows.join(many, "order", "left_semi")
 
@@ -54,12 +59,14 @@ def _dimension(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def multi_source_orders(sales: DataFrame, returns: DataFrame, dates: DataFrame, addresses: DataFrame, centers: DataFrame, p: MultiSource = MultiSource(), form: str = "exists") -> DataFrame:
+def multi_source_orders(sales: DataFrame, returns: DataFrame, dates: DataFrame, addresses: DataFrame, centers: DataFrame, p: MultiSource = MultiSource(), form: str = "exists", shipped: DataFrame | None = None) -> DataFrame:
     """Orders of a date range, state and counties that ship from several warehouses and were never returned: one row of totals.
 
     sales: order, warehouse, date_key, address_key, center_key, ship_cost, profit. returns: order. dates: date_key, day. addresses: address_key,
     state. centers: center_key, county. Dimensions filter the sales before the order-level joins shuffle what is left.
+    shipped: order and warehouse of all sales, where these can be read more cheaply than from sales.
     """
+    shipped = (sales if shipped is None else shipped).select("order", "warehouse")
     days = _dimension(dates.where(p.in_range(F.col("day"))).select("date_key"))
     here = _dimension(addresses.where(F.col("state") == p.state).select("address_key"))
     there = _dimension(centers.where(F.col("county").isin(*sorted(set(p.counties)))).select("center_key"))
@@ -67,24 +74,24 @@ def multi_source_orders(sales: DataFrame, returns: DataFrame, dates: DataFrame,
     # the other warehouses may belong to rows that the filters drop: orders are looked up among all sales, but only those still wanted
     orders = wanted.select("order").distinct()
     if form == "exists_join":
-        a, b = wanted.alias("a"), sales.join(orders, "order", "left_semi").select("order", "warehouse").alias("b")
+        a, b = wanted.alias("a"), shipped.join(orders, "order", "left_semi").alias("b")
         rows = a.join(b, (F.col("a.order") == F.col("b.order")) & (F.col("a.warehouse") != F.col("b.warehouse")), "left_semi")
     else:
-        many = sales.join(orders, "order", "left_semi").groupBy("order").agg(F.min("warehouse").alias("_lo"), F.max("warehouse").alias("_hi")).where("_lo != _hi").select("order")
+        many = several(shipped.join(orders, "order", "left_semi"))
         rows = (wanted.where("warehouse is not null") if form == "exists" else wanted).join(many, "order", "left_semi")
     return summed(rows.join(returns.select("order").distinct(), "order", "left_anti"))
 
 
 def returns_by_customer_store(returns: DataFrame, dates: DataFrame, year: int = 1998) -> DataFrame:
     """customer, store, total: what each customer returned to each store in a year. returns: customer, store, date_key, amount; dates: date_key, day."""
-    days = dates.where(F.year("day") == year).select("date_key").distinct()
+    days = dates.where(F.col("day").between(F.lit(date(year, 1, 1)), F.lit(date(year, 12, 31)))).select("date_key").distinct()
     return returns.join(days, "date_key", "left_semi").groupBy("customer", "store").agg(F.sum("amount").alias("total"))
 
 
-def above_group_average(totals: DataFrame, stores: DataFrame, customers: DataFrame, state: str, form: str = "window", factor: float = 1.2, k: int = 100, cross: bool = False) -> DataFrame:
+def above_group_average(totals: DataFrame, stores: DataFrame, customers: DataFrame, state: str, form: str = "join", factor: float = 1.2, k: int = 100, cross: bool = False) -> DataFrame:
     """The first k names of customers whose total at a store of the state is over ``factor`` times the store's average.
 
-    form: "window" takes the average beside each row, "join" joins it. cross: the accidental variant that pairs each such customer with
+    form: "join" joins each store's average, of which parts are summed before the shuffle; "window" takes it beside each row, for which all totals of a store meet in one task. cross: the accidental variant that pairs each such customer with
     every store of the state, wherever the total arose; it is off, and only multiplies rows by the number of those stores.
     stores: store, state; customers: customer, name.
     """

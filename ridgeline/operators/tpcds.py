@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import struct
 from . import star
 
 #: The published parameters of question 16.
@@ -15,6 +16,11 @@ Q16 = star.MultiSource(start=date(2002, 3, 1), end=date(2002, 4, 30), state="IA"
 Q16_STAGED = star.MultiSource(start=date(2002, 2, 1), end=date(2002, 4, 1), inclusive=False, state="GA", counties=("Williamson County",))
 
 
+def declared(df: DataFrame, table: str) -> DataFrame:
+    """df as a declared table: its columns in order and with their types, null where df has none."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(table)])
+
+
 def q16(catalog_sales: DataFrame, date_dim: DataFrame, customer_address: DataFrame, call_center: DataFrame, catalog_returns: DataFrame, p: star.MultiSource = Q16, form: str = "exists") -> DataFrame:
     """Orders shipped from several warehouses and never returned: order_count, total_shipping_cost, total_net_profit in one row."""
     sales = catalog_sales.select(
@@ -38,7 +44,7 @@ def customer_store_returns(store_returns: DataFrame, date_dim: DataFrame, year:
     return returns.join(days, "date_key", "left_semi").groupBy("customer", "store").agg(F.sum("amount").alias("total"))
 
 
-def q1(store_returns: DataFrame, date_dim: DataFrame, store: DataFrame, customer: DataFrame, year: int = 2001, state: str = "TN", form: str = "window", cross: bool = False) -> DataFrame:
+def q1(store_returns: DataFrame, date_dim: DataFrame, store: DataFrame, customer: DataFrame, year: int = 2001, state: str = "TN", form: str = "join", cross: bool = False) -> DataFrame:
     """Customers who returned over 1.2 times their store's average: the first 100 ids (column c_customer_id).
 
     cross: the variant without the join between totals and stores, which repeats each customer for every store of the state.
