@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 
 def range_sum(spark: SparkSession, n: int = 100_000, divisor: int = 1) -> DataFrame:
     """Sum of the multiples of divisor below n: one row, total."""
@@ -31,9 +33,11 @@ def numbered(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Rows with their place in an order, from 0, over all partitions.
 
     Rows are sorted by range, numbered inside their partition, and moved up by the sizes of the partitions before (one row a partition is all that
-    meets in one task). The sorted rows are kept meanwhile, as both passes must see the same partitions.
+    meets in one task). The sorted rows are written to the shared scratch folder with their partitions' numbers, as both passes must see the same ones.
     """
-    rows = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    path = scratch_dir(df.sparkSession)
+    df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     part = F.shiftright("_id", 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
