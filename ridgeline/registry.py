@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sources
 from .functions import weblog
 from .operators import accesslog as A
 from .operators import basics as B
-from .operators import star
+from .operators import star, tpcds
 from .operators import wordcount as W
-from .session import spread
+from .schemas import SCHEMAS
+from .session import scratch_dir, spread
 from .streaming import incremental as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +199,17 @@ def rate(c: Column) -> Column:
     return c.cast("decimal(4,2)")
 
 
+def calendar(spark) -> DataFrame:
+    """A dates dimension, 1970 to 2069: date_key, day."""
+    day = F.date_add(F.lit(date(1970, 1, 1)), F.col("id").cast("int"))
+    return spark.range(36_525).select(day.alias("date_key"), day.alias("day"))
+
+
+def shipped(spark, folder) -> DataFrame:
+    """Order and warehouse of all sales: lineitem alone tells."""
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("warehouse"))
+
+
 def star_tables(spark, folder) -> dict[str, DataFrame]:
     """Sales with their keys, returned orders, and three dimensions."""
     item, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
@@ -207,7 +221,7 @@ def star_tables(spark, folder) -> dict[str, DataFrame]:
     return {
         "sales": sales,
         "returns": item.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("order")),
-        "dates": orders.select(F.col("o_orderdate").cast("date").alias("date_key")).distinct().withColumn("day", F.col("date_key")),
+        "dates": calendar(spark),
         "addresses": table(spark, folder, "customer").select(F.col("c_custkey").alias("address_key"), F.col("c_mktsegment").alias("state")),
         "centers": table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("center_key"), F.col("n_name").alias("county")),
     }
@@ -240,7 +254,7 @@ for _name, _p, _form, _sql in (
     ("star_nunique_semi", PARAMETERS, "nunique", _star_sql(_star_where(PARAMETERS), _COUNTED)),
     ("star_dates_exclusive", _OPEN, "exists", _star_sql(_star_where(_OPEN))),
 ):
-    query(_name, _sql)(lambda spark, folder, p=_p, form=_form: star.multi_source_orders(**star_tables(spark, folder), p=p, form=form))
+    query(_name, _sql)(lambda spark, folder, p=_p, form=_form: star.multi_source_orders(**star_tables(spark, folder), p=p, form=form, shipped=shipped(spark, folder)))
 
 
 @query("incremental_star", _star_sql(_star_where(PARAMETERS)))
@@ -253,8 +267,8 @@ def incremental_star(spark, folder):
         F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("warehouse"), F.col("l_suppkey").alias("center_key"),
         (money(F.col("l_extendedprice")) * rate(F.col("l_tax"))).alias("ship_cost"), (money(F.col("l_extendedprice")) * (1 - rate(F.col("l_discount")))).alias("profit"),
     ).join(order, "order")
-    so_far = t.pop("sales")
-    return I.multi_source_orders(sales, so_far, **t, p=PARAMETERS)
+    del t["sales"]
+    return I.multi_source_orders(sales, shipped(spark, folder), **t, p=PARAMETERS)
 
 
 @query("incremental_word_count", f"{_WORDS} SELECT word, count(*) AS n FROM words GROUP BY word")
@@ -274,7 +288,7 @@ def _totals(spark, folder) -> DataFrame:
     returns = item.where("l_returnflag = 'R'").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("store"), F.col("o_orderdate").cast("date").alias("date_key"), money(F.col("l_extendedprice")).alias("amount"),
     )
-    return star.returns_by_customer_store(returns, star_tables(spark, folder)["dates"], 1998)
+    return star.returns_by_customer_store(returns, calendar(spark), 1998)
 
 
 def _stores(spark, folder) -> DataFrame:
@@ -305,3 +319,151 @@ query("above_group_avg_cross", _above_sql(""))(lambda spark, folder: star.above_
 @query("above_group_avg_subquery", _above_sql())
 def above_group_avg_subquery(spark, folder):
     return star.above_group_average_sql(spark, _totals(spark, folder), _stores(spark, folder), _customers(spark, folder), "ASIA")
+
+
+# ---- files: test tables written as delimited text or lines, and read again
+
+
+def _file(spark, df: DataFrame, sep: str = "|", header: bool = False, name: str = "") -> str:
+    """Writes df as delimited text into a new folder of the shared scratch folder."""
+    path = f"{scratch_dir(spark)}/{name or 'table'}"
+    sources.write_csv(df, path, sep, header)
+    return path
+
+
+_NATION = "n_nationkey INT, n_name STRING, n_regionkey INT"
+
+
+@query("file_header", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def file_header(spark, folder):
+    """A table with a line of names."""
+    return sources.read_delimited(spark, _file(spark, table(spark, folder, "nation"), ",", True), schema=_NATION, sep=",", header=True)
+
+
+@query("file_dash_null", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS n_name, n_regionkey FROM nation")
+def file_dash_null(spark, folder):
+    """Chunks without names and with a token for NULL; the folder's files of another suffix aren't read."""
+    name = F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).otherwise("-")
+    path = _file(spark, table(spark, folder, "nation").withColumn("n_name", name).repartition(3))
+    spark.range(9).selectExpr("concat(id, '|no nation|1') AS value").write.mode("append").text(path)
+    return sources.read_delimited(spark, path, schema=_NATION, null="-", suffix=".csv")
+
+
+@query("file_types", "SELECT o_orderkey AS key, CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS BIGINT) AS day, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS price, o_orderstatus AS status FROM orders")
+def file_types(spark, folder):
+    """Dates, decimals and whole numbers as text, read by a declared schema."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey"), F.col("o_orderdate").cast("date"), F.col("o_totalprice").cast("decimal(12,2)"), F.col("o_orderstatus"))
+    got = sources.read_delimited(spark, _file(spark, orders), schema="key BIGINT, day STRING, price DECIMAL(12,2), status STRING")
+    day = F.to_date("day")
+    return got.select("key", (F.year(day) * 10000 + F.month(day) * 100 + F.day(day)).cast("bigint").alias("day"), F.col("price").cast("double").alias("price"), "status")
+
+
+@query("file_lines", _log_sql(weblog.LENIENT, "SELECT * FROM log"))
+def file_lines(spark, folder):
+    """Log lines from text files, dealt to four partitions at least."""
+    path = scratch_dir(spark)
+    clf_lines(spark, folder).write.text(path)
+    return A.parse(sources.read_lines(spark, path, 4))[0]
+
+
+@query("file_lines_failed", f"WITH {_CLF} SELECT line FROM clf WHERE NOT regexp_matches(line, '{weblog.STRICT}')")
+def file_lines_failed(spark, folder):
+    path = scratch_dir(spark)
+    clf_lines(spark, folder).write.text(path)
+    return A.parse(sources.read_lines(spark, path), weblog.STRICT)[1]
+
+
+@query("views", "SELECT r_name, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def views(spark, folder):
+    """Tables as temporary views, asked in SQL."""
+    found = sources.read_parquet_tables(spark, folder, "nation", "region")
+    sources.register({f"{name}_view": df for name, df in found.items()})
+    return spark.sql("SELECT r_name, count(*) AS n FROM nation_view JOIN region_view ON r_regionkey = n_regionkey GROUP BY r_name")
+
+
+@query("repeated_rows", "SELECT n_name, 3 * count(*) AS n FROM nation GROUP BY n_name")
+def repeated_rows(spark, folder):
+    return B.count_by(sources.repeated(table(spark, folder, "nation"), 3), "n_name")
+
+
+@query("rounds_together", "SELECT o_orderkey, o_custkey FROM orders")
+def rounds_together(spark, folder):
+    """A table dealt to six rounds by its key, put together again."""
+    return B.concat(*B.rounds(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), 6, "o_orderkey"))
+
+
+@query("dealt_by_range", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
+def dealt_by_range(spark, folder):
+    """Counts by key over rows that lie in ranges of it: the exchange by range does for the aggregation, too."""
+    rows = B.dealt(table(spark, folder, "orders").select("o_custkey", "o_orderkey"), 8, "o_custkey", by_range=True)
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
+
+
+def tpcds_tables(spark, folder, names: tuple[str, ...], ddl: bool) -> dict[str, DataFrame]:
+    """Declared tables filled from the test tables, written with a delimiter at each line's end or not, and read by declared schema or (``ddl``) from the catalog."""
+    sk = F.datediff("day", F.lit(date(1970, 1, 1)))
+    item, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    lines = item.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("day", F.col("o_orderdate").cast("date"))
+    made = {
+        "date_dim": calendar(spark).select(sk.alias("d_date_sk"), F.col("day").alias("d_date"), F.year("day").alias("d_year")),
+        "catalog_sales": lines.select(
+            sk.alias("cs_ship_date_sk"), F.col("o_custkey").alias("cs_ship_addr_sk"), F.col("l_suppkey").alias("cs_call_center_sk"), F.col("l_suppkey").alias("cs_warehouse_sk"), F.col("l_orderkey").alias("cs_order_number"),
+            F.col("l_tax").cast("decimal(7,2)").alias("cs_ext_ship_cost"), F.col("l_quantity").cast("decimal(7,2)").alias("cs_net_profit"),
+        ),
+        "catalog_returns": item.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("cr_order_number")),
+        "customer_address": table(spark, folder, "customer").select(F.col("c_custkey").alias("ca_address_sk"), F.col("c_mktsegment").alias("ca_state")),
+        "call_center": table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cc_call_center_sk"), F.col("n_name").alias("cc_county")),
+        "store_returns": lines.where("l_returnflag = 'R'").select(sk.alias("sr_returned_date_sk"), F.col("o_custkey").alias("sr_customer_sk"), F.col("l_suppkey").alias("sr_store_sk"), F.col("l_quantity").cast("decimal(7,2)").alias("sr_return_amt")),
+        "store": table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("s_store_sk"), F.col("r_name").alias("s_state")),
+        "customer": table(spark, folder, "customer").select(F.col("c_custkey").alias("c_customer_sk"), F.col("c_name").alias("c_customer_id")),
+    }
+    out = {}
+    for name in names:
+        df = tpcds.declared(made[name], name)
+        path = _file(spark, df if ddl else df.withColumn("end", F.lit(None).cast("string")), name=name)
+        if ddl:
+            spark.sql("CREATE SCHEMA IF NOT EXISTS ridgeline_files")
+            spark.sql(f"DROP TABLE IF EXISTS ridgeline_files.{name}")  # this entry's own, of an earlier run
+            out[name] = sources.create_table(spark, f"ridgeline_files.{name}", path, name)
+        else:
+            out[name] = sources.read_delimited(spark, path, table=name)
+    return out
+
+
+_Q16 = star.MultiSource(start=_START, end=_END, state="BUILDING", counties=_NATIONS)
+
+
+@query(
+    "tpcds_q16",
+    f"""WITH sales AS (
+        SELECT l_orderkey AS ord, l_suppkey AS warehouse, CAST(l_tax AS DECIMAL(7,2)) AS ship_cost, CAST(l_quantity AS DECIMAL(7,2)) AS profit, CAST(o_orderdate AS DATE) AS day, c_mktsegment AS state, n_name AS county
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+    )
+    SELECT count(DISTINCT ord) AS order_count, CAST(sum(ship_cost) AS DOUBLE) AS total_shipping_cost, CAST(sum(profit) AS DOUBLE) AS total_net_profit
+    FROM sales a WHERE {_star_where(_Q16)} AND EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.ord AND b.l_suppkey <> a.warehouse) AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = a.ord AND r.l_returnflag = 'R')""",
+)
+def tpcds_q16(spark, folder):
+    """Question 16 over its own tables, from delimited text with a delimiter at each line's end."""
+    names = ("catalog_sales", "date_dim", "customer_address", "call_center", "catalog_returns")
+    return tpcds.q16(*tpcds_tables(spark, folder, names, False).values(), p=_Q16)
+
+
+@query(
+    "tpcds_q1",
+    """WITH t AS (
+        SELECT o_custkey AS customer, l_suppkey AS store, sum(CAST(l_quantity AS DECIMAL(7,2))) AS total
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND year(o_orderdate) = 1998 GROUP BY 1, 2
+    )
+    SELECT c_name AS c_customer_id FROM t, supplier, nation, region, customer
+    WHERE CAST(t.total AS DOUBLE) > (SELECT avg(CAST(u.total AS DOUBLE)) * 1.2 FROM t u WHERE u.store = t.store)
+        AND s_suppkey = t.store AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND c_custkey = t.customer ORDER BY 1 LIMIT 100""",
+)
+def tpcds_q1(spark, folder):
+    """Question 1 over its own tables, made by DDL over delimited text."""
+    return tpcds.q1(*tpcds_tables(spark, folder, ("store_returns", "date_dim", "store", "customer"), True).values(), year=1998, state="ASIA")
+
+
+@query("declared_columns", " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({ddl.count(' ') - ddl.count(', ')} AS BIGINT) AS n_columns" for name, ddl in SCHEMAS.items()))
+def declared_columns(spark, folder):
+    """The declared schemas: their names and numbers of columns."""
+    return spark.createDataFrame([(name, len(tpcds.struct(name))) for name in SCHEMAS], "name string, n_columns bigint")

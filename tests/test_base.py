@@ -181,3 +181,31 @@ def test_planned_start():
     assert got["a"] == (0.0, 10.0) and got["c"] == (7.0, 10.0) and got["d"] == (7.0, 27.0)
     with pytest.raises(ValueError):
         plans.planned_start({"a": 1.0}, {"a": ["a"]})
+
+
+def test_rounds_report_as_they_come(spark, tmp_path):
+    """More rounds than the engine keeps reports of: each is told once, in order; a result of rounds equals the batch's."""
+    docs = registry.table(spark, TINY, "documents").select("doc_id", "text")
+    docs.repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "4")
+    try:
+        seen = []
+        got = I.word_count(I.file_stream(spark, str(tmp_path), "documents", docs.schema), seen.append)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert {r.word: r.n for r in got.collect()} == {r.word: r.n for r in W.word_count(W.words_of(W.lines_of(docs))).collect()}
+    numbers = [r["batchId"] for r in seen]
+    assert numbers == sorted(set(numbers)) and numbers[-1] >= 8 and numbers[0] == 0
+    empty = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "documents.parquet")).where("doc_id < -5")
+    assert I.word_count(empty).count() == 0
+
+
+def test_metrics_of_a_run(spark):
+    m = plans.run_metrics(registry.QUERIES["clf_status_counts"](spark, TINY))
+    assert m["rows"] == registry.QUERIES["clf_status_counts"](spark, TINY).count() and m["plan"]["final"] and m["seconds"] > 0
+
+
+def test_filters_come_before_the_order_joins(spark):
+    s = plans.physical(registry.QUERIES["star_exists_not_exists"](spark, TINY))
+    assert s.count("orders.parquet") == 2  # once for the sales, once for the orders still wanted
+    assert "year(" not in plans.physical(registry.QUERIES["returns_by_customer_store"](spark, TINY))
