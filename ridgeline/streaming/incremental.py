@@ -32,7 +32,7 @@ def _follow(query: StreamingQuery, on_progress: Callable[[dict], None] | None) -
     """Waits for the end of a query; on_progress gets the report of each round as it comes, each once, in order."""
     last = -1
     while True:
-        ended = query.awaitTermination(1)
+        ended = query.awaitTermination(0.2)
         for report in query.recentProgress if on_progress else ():
             report = report if isinstance(report, dict) else json.loads(report.json)
             if report["batchId"] > last:
