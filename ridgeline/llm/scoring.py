@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, materialize, slice_count, slices, tidied
+from .common import broadcast, materialize, slice_count, slices, tidied, tidy
 
 MU = 500.0
 COMMON = 1 << 17
@@ -37,11 +37,11 @@ BITS_EACH, PROBES = 10, 3
 PAIR_BITS = 3 << 28
 LEVELS = 40
 #: Tokens that a worker counts before it passes the sums on.
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 #: Distinct (word, document) that a worker gathers for the exchange before it passes them on.
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 500_000
 #: Pairs that a worker gathers for the exchange before it passes them on.
-FLUSH_PAIRS = 2_000_000
+FLUSH_PAIRS = 1_000_000
 #: Bytes of text taken at a time.
 SLICE_BYTES = 2 << 20
 KEY_BITS = 40
@@ -323,6 +323,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame, Data
     most = COMMON // parts + 1
 
     def reduce_(key, table):
+        tidy()  # what the slice before took
         kind, p = key[0].as_py(), key[1].as_py()
         keys, n = _summed(table, kind)
         segment, _ = build_segment(keys, n, quantised=word_level_of if kind == 1 else level_of)
@@ -439,6 +440,7 @@ def pair_sums(doc: DataFrame, held, segments: DataFrame, parts: int) -> DataFram
             yield from pack(asked, ids)
 
     def answer(key, rows, table):
+        tidy()
         segment = next((x.as_py() for x in table.column("segment")), b"")
         ids, adds = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
         m = held.value
@@ -524,6 +526,7 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
 
     def look_up(key, rows, table):
         """What each document's words of one slice add, packed by slice of the document."""
+        tidy()
         keys, n = (np.concatenate([np.frombuffer(x.as_py(), dtype=t) for x in table.column(c)] or [np.zeros(0, dtype=t)]) for c, t in (("keys", np.uint64), ("n", np.int64)))
         ids, adds, knows = [], [], []
         for k in range(rows.num_rows):
@@ -552,6 +555,7 @@ def scored(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_co
     total = model.total
 
     def add_up(rows, adds):
+        tidy()
         own = np.stack([rows.column(c).to_numpy() for c in ("i", "h")], axis=1).reshape(-1, 2)
         ids = [np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2) for x in adds.column("docs")]
         found, back = np.unique(np.concatenate([own, *ids]), axis=0, return_inverse=True)
