@@ -106,7 +106,7 @@ def _ranked(numbers: DataFrame, targets: DataFrame, broadcast: bool) -> DataFram
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("rate", rate).withColumn("sure", F.floor("rate"))
     # without unequal odds (scale is null) every row of a source has the same probability
-    p = F.coalesce(F.least(F.lit(1.0), F.col("scale") * F.col("odds")), F.col("rate") - F.col("sure"))
+    p = F.when(F.col("scale").isNull(), F.col("rate") - F.col("sure")).otherwise(F.least(F.lit(1.0), F.col("scale") * F.col("odds")))
     u = (F.col("bits").cast("double") + 0.5) / F.lit(float(1 << 52))
     # random odds over inclusion odds; a probability of 0 ranks last, one of 1 first
     rank = F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
