@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ridgeline.session import spread
 
@@ -13,6 +14,7 @@ from .common import table
 from .mixing import mixing_sql
 from .pages import pages_sql
 from .suffixes import suffix_sql
+from .twins import base_counts_sql, base_score_sql, payload_sql
 
 
 def piece_model() -> str:
@@ -82,6 +84,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_report(spread(table(spark, sf_dir, "pages")))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3's rows."""
+    return op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4's rows."""
+    return op4_telephony_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8's rows."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_source_mixing": op2_source_mixing,
@@ -93,10 +110,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
+    "lm_base_scores": lm_base_scores,
+    "audio_payloads": audio_payloads,
+    "quality_base_counts": quality_base_counts,
 }
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing_sql(),
     "op5_suffix_dedup": suffix_sql(),
     "op7_chat_formatting": chat_sql(),
     "op10_html_extraction": pages_sql(),
+    "lm_base_scores": base_score_sql(),
+    "audio_payloads": payload_sql(),
+    "quality_base_counts": base_counts_sql(),
 }
