@@ -126,3 +126,25 @@ def test_sums_of_rows():
     T.add_rows(out, at, rows)
     np.add.at(want, at, rows)
     assert np.allclose(out, want)
+
+
+def test_rows_beyond_the_start_train_and_calibrate(spark, monkeypatch):
+    monkeypatch.setattr(T, "SAMPLE", 20)  # of each class, where 288 rows of toxic words are labelled
+    monkeypatch.setattr(T, "PART_ROWS", 300)
+    rows = corpus(1500, seed=9)
+    docs = spark.createDataFrame([r[:3] for r in rows] + [(1, "zz " + rows[1][1], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    T._last.clear()
+    model, by_lang = T.fit(docs, labels)
+    T._last.clear()
+    again, _ = T.fit(docs.repartition(3), labels)
+    assert np.array_equal(model.rows, again.rows) and np.array_equal(model.out, again.out)
+    crc = lambda r: zlib.crc32(str(r[0]).encode()) % 5
+    training, calibration, held = ([r for r in rows if crc(r) in k] for k in ((2, 3, 4), (1,), (0,)))
+    seen = T.texts_with(*T.coded_texts(pa.array([r[1] for r in training])))
+    assert np.array_equal(model.slot > 0, seen >= T.MIN_DOCS)
+    scores = model.scores(pa.array([r[1] for r in held]))
+    assert ((scores >= 0.5) == (np.array([r[3] for r in held]) == 1)).mean() > 0.95
+    scores = model.scores(pa.array([r[1] for r in calibration]))
+    want = T.thresholds(scores, np.array([r[3] for r in calibration]), [r[2] for r in calibration])
+    assert len(want) == 3 and {k: round(v, 5) for k, v in by_lang.items()} == {k: round(v, 5) for k, v in want.items()}
