@@ -45,3 +45,18 @@ def test_stages_equal_brute_force(spark):
     last = sorted((i, len(x) + 1, hashlib.sha256(" ".join(map(str, [*x, 2])).encode()).hexdigest(), hashlib.sha256(model.decode(x).encode()).hexdigest()) for i, x in ids)
     assert rows[5] == last
     assert sorted(map(tuple, P.run(spark, FOLDER).collect())) == last
+
+
+def test_the_toxicity_stage_trains_on_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic in (0, 1)")
+    seen = []
+    real = toxicity.one_round
+    monkeypatch.setattr(toxicity, "one_round", lambda packed, *a: seen.append(packed.selectExpr("sum(length(counts)) / 4 n", "sum(length(toxic)) m").first()) or real(packed, *a))
+    toxicity._last.clear()
+    kept = P.reject_toxic(spark, docs, FOLDER)
+    want = docs.join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 > 1").select("doc_id").distinct().count()
+    assert want > 20 and [tuple(s) for s in seen] == [(want, want)] * toxicity.ROUNDS
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    toxicity._last.clear()
