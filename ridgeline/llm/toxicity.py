@@ -6,7 +6,7 @@ filter's largest response in the text (never below 0) goes into a logistic outpu
 
 Every labelled row is used: a fifth of all labels is held out by the contract, another fifth trains nothing and calibrates a threshold for each
 language, all others train. The driver trains a start on at most ``SAMPLE`` rows of each class, those of the smallest hash of their id, and of these, in
-the order of that hash, as many whole texts as ``SAMPLE_BYTES`` hold, weighted as many as all labels of their class. Where that is not all of them, ``ROUNDS`` rounds go over all:
+the order of that hash, as many whole texts as ``SAMPLE_BYTES`` hold. Where that is not all of them, the start takes ``START_BYTES`` of them, weighted as many as all labels of their class, and ``ROUNDS`` rounds go over all:
 rows are dealt by id to parts, each part trains one epoch from the model of the round before, and the parts' moves are averaged (a word row's over the
 parts that moved it). Which features are known is counted over all training rows. Scores depend on the text alone; the language only picks the threshold that a score is held against.
 
@@ -28,6 +28,8 @@ from .common import arrow_function, broadcast, drop_scratch, field, materialize,
 
 #: Labelled rows of each class that the driver trains the start on at most, and bytes of text of both classes together.
 SAMPLE, SAMPLE_BYTES = 4000, 48 << 20
+#: Bytes of text of the start where rounds over all rows follow: the driver then needs little memory.
+START_BYTES = 4 << 20
 #: Rounds over all training rows, and the rows and bytes of text that a part of them holds on average.
 ROUNDS, PART_ROWS, PART_BYTES = 3, 8000, 8 << 20
 #: Slices of the rows of words in which parts' moves are averaged, at most.
@@ -317,12 +319,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         weights.append(max(1.0, totals[c].ids / SAMPLE) if c in totals else 1.0)
     start = least_texts(rows.join(F.broadcast(chosen.select("id")), "id"))
     start = materialize(start.withColumn("n", F.octet_length("text").cast("long")))
+    size, n = start.agg(F.sum("n"), F.count("*")).first()
+    whole = size <= SAMPLE_BYTES and n == sum(t.ids for t in totals.values())
     upto = F.sum("n").over(Window.orderBy("at", "id"))
-    within = start.select("id", upto.alias("upto")).where(F.col("upto") <= SAMPLE_BYTES).select("id")  # a window over 2 * SAMPLE rows at most
+    within = start.select("id", upto.alias("upto")).where(F.col("upto") <= (SAMPLE_BYTES if whole else min(SAMPLE_BYTES, START_BYTES))).select("id")  # a window over 2 * SAMPLE rows at most
     table = start.join(F.broadcast(within), "id").orderBy("at", "id").select(F.col("id").cast("string").alias("id"), "toxic", "lang", "text").toArrow().combine_chunks()
     toxic = np.array(table.column("toxic").to_pylist(), dtype=np.int64)
     held = np.array([zlib.crc32(i.encode()) % 5 == 1 for i in table.column("id").to_pylist()], dtype=bool)
-    if table.num_rows == sum(t.ids for t in totals.values()):
+    if whole:
         fitted = train(table.column("text").filter(~held), toxic[~held].tolist())
         rest = table.filter(held)
         scores = np.concatenate([fitted.scores(s) for s in slices(rest.column("text"), SLICE_BYTES)]) if rest.num_rows else np.zeros(0)
@@ -433,18 +437,19 @@ def one_round(packed: DataFrame, model: ConvModel, at: int) -> None:
             found, back, times = np.unique(slots, return_inverse=True, return_counts=True)
             mean = np.zeros((len(found), width))
             add_rows(mean, back, moves)
-            mean /= times[:, None]
+            mean = (mean / times[:, None]).astype(np.float32)
         return pa.table({"slice": [key[0].as_py()], "slots": [found.tobytes()], "moves": [mean.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("slots", pa.binary()), ("moves", pa.binary())]))
 
     found = packed.mapInArrow(tidied(run), "slice int, part int, slots binary, moves binary").groupBy("slice").applyInArrow(average, "slice int, slots binary, moves binary")
-    for r in found.toArrow().to_pylist():  # at most a move for each of BUCKETS rows
-        moves = np.frombuffer(r["moves"])
-        if r["slice"] < 0:
-            put_flat(model, moves)
+    found = found.toArrow()  # at most a move for each of BUCKETS rows
+    for s, slots, moves in zip(*found.columns):
+        moves = moves.as_buffer()
+        if s.as_py() < 0:
+            put_flat(model, np.frombuffer(moves))
         else:
-            slots, moves = np.frombuffer(r["slots"], dtype=np.int32), moves.reshape(-1, width)
-            model.rows[slots] += moves[:, :DIM].astype(np.float32)
-            model.squares[0][slots] += moves[:, DIM:].astype(np.float32)
+            slots, moves = np.frombuffer(slots.as_buffer(), dtype=np.int32), np.frombuffer(moves, dtype=np.float32).reshape(-1, width)
+            model.rows[slots] += moves[:, :DIM]
+            model.squares[0][slots] += moves[:, DIM:]
 
 
 def language_thresholds(rows: DataFrame, model: ConvModel) -> dict[str | None, float]:
